@@ -3,14 +3,14 @@
 A source's target is its share of all words by weight, at most ``most_epochs`` times its own words; the excess goes to
 the others by weight until no target is above its bound (water filling). A source takes whole epochs of all its
 documents first; the rest of the target is a weighted sample without replacement: a document of quality weight w has
-the exponential key -ln(u) / w, keys ascend, and the prefix of the words meets the budget. Keys are cut into buckets,
-so that prefix sums run over (source, bucket) sums and only the one bucket that the budget falls into is ordered row
-by row: no source, however large, is sorted in one task.
+the exponential key -ln(u) / w, keys ascend, and the prefix of the words meets the budget. Keys are cut into buckets:
+prefix sums run over the (source, bucket) sums and then within each bucket, so no source, however large, is sorted in
+one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,7 +18,7 @@ from .common import WORD, materialize
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
-    """``sizes`` (source, source_size) with weight and target.
+    """``sizes`` (sk, source, source_size) with weight and target.
 
     The common level x solves sum(min(cap, weight * x)) = total; in order of cap / weight it lies where the caps before
     it and the weights from it on make up the total. Sources without words get 0.
@@ -31,35 +31,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs:
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce("before", F.lit(0.0))) / F.col("rest"))
     s = s.withColumn("nth", F.row_number().over(order))  # the first level that its source's bound allows
     s = s.withColumn("x", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("nth", "level"))).over(every)["level"])
-    return s.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("x") * F.col("weight")), F.col("cap")).alias("target"))
+    return s.select("sk", "source", "source_size", "weight", F.coalesce(F.least("cap", F.col("x") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 20, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 20, rows_per_bucket: int = 2000, most_buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_crc32, source, size, source_size, target, copies (times it is taken), taken,
     and the columns named in ``keep``.
 
-    ``quality``: positive weight of a document (null or none: 1). Null text: size 0. A null source is a source of its
-    own, ordered last. Rows alike in id and text share a key and are taken one after the other. A source without words
-    takes nothing. An empty table gives an empty result. The result depends on the rows and the seed alone.
+    ``quality``: (doc_id, quality) with one positive weight for each of some documents; all others weigh 1. Null text:
+    size 0. A null source is a source of its own, ordered last. Rows alike in id and text share a key and are taken one
+    after the other. A source without words takes nothing. An empty table gives an empty result. The result depends on
+    the rows and the seed alone.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    quality = F.lit(1.0) if quality is None else F.when(quality > 0, quality).otherwise(1.0).cast("double")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.crc32(text.cast("binary"))), 11).cast("double") + 0.5) / float(1 << 53)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / F.coalesce(quality, F.lit(1.0))).alias("key"), *keep)
-    slim = materialize(slim.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "mix")
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most_epochs)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *keep)
+    w = F.lit(1.0)
+    if quality is not None:  # joined to the slim rows: no text is shuffled
+        known = quality.where("quality > 0").select(F.col("doc_id").alias("known_id"), F.col("quality").cast("double").alias("w"))
+        slim, w = slim.join(known, slim["doc_id"] == known["known_id"], "left").drop("known_id"), F.coalesce("w", F.lit(1.0))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), 11).cast("double") + 0.5) / float(1 << 53)
+    slim = slim.withColumn("key", -F.log(u) / w).drop("w")
+    slim = materialize(slim.withColumn("sk", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix")
+    buckets = max(16, min(most_buckets, slim.count() // rows_per_bucket))
+    slim = slim.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    sums = slim.groupBy("sk", "source", "bucket").agg(F.sum("size").alias("words"))
+    goal = targets(sums.groupBy("sk", "source").agg(F.sum("words").alias("source_size")), weights, most_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most_epochs).cast("long"), F.floor(F.col("target") / F.col("source_size") + 1e-12))).otherwise(F.lit(0).cast("long"))
     goal = goal.withColumn("epochs", whole).withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    prefix = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("before", F.coalesce(F.sum("words").over(prefix), F.lit(0))).withColumnRenamed("source", "s")
-    # the last bucket that starts within the budget
-    goal = goal.join(edge, goal["source"].eqNullSafe(edge["s"]) & (edge["before"] <= goal["budget"]), "left").groupBy("source", "source_size", "target", "epochs", "budget").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    goal = goal.withColumnRenamed("source", "s")
-    rows = slim.join(goal, slim["source"].eqNullSafe(goal["s"])).drop("s")
-    inside = rows.where("bucket <> edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
-    run = Window.partitionBy("source").orderBy("key", "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = rows.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("size").over(run))
-    at = at.withColumn("more", ((F.col("upto") - F.col("size") / 2) < F.col("budget")).cast("long")).drop("upto")
-    out = inside.unionByName(at).withColumn("copies", F.least(F.lit(most_epochs).cast("long"), F.col("epochs") + F.col("more")))
+    prefix = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("sk", "bucket", F.coalesce(F.sum("words").over(prefix), F.lit(0)).alias("before")).join(goal.drop("source", "weight"), "sk")
+    run = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = slim.join(offsets, ["sk", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(run))
+    # a document is in if more than half of it is within the budget
+    more = ((F.col("upto") - F.col("size") / 2) < F.col("budget")).cast("long")
+    out = rows.withColumn("copies", F.least(F.lit(most_epochs).cast("long"), F.col("epochs") + more))
     return out.select("doc_id", "text_crc32", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)

@@ -30,15 +30,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with quality: 2 for documents labelled as of high quality, else 1."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["good_id"], "left").withColumn("quality", F.when(F.col("good_id").isNotNull(), 2.0).otherwise(1.0)).drop("good_id")
+def quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): 2 for documents labelled as of high quality; all others count 1."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(2.0).alias("quality")).distinct()
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix_documents(docs, F.col("quality")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    out = mixing.mix_documents(table(spark, sf_dir, "documents"), quality(table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
