@@ -107,3 +107,44 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and its inverse modulo 2**64 for i < n (kept, in sizes of powers of two)."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        _powers[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _powers[size]
+
+
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last-plus-one byte of every word, and the rows' offsets in these; words do not cross rows."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
+    inside = ~SPACE[data]
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    begins[first] = inside[first]
+    closes[first[1:] - 1] |= inside[first[1:] - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, ends)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (``lower``: A-Z as a-z), and the rows' offsets in these."""
+    starts, stops, cut = word_spans(data, ends)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)), cut
