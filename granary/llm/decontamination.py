@@ -185,44 +185,70 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     LEAST_CHARS characters are left out; repeated rows and passages are reported one by one. Empty tables give an
     empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    upto = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = items.withColumn("block", F.floor(F.sum(F.length("text") + 1).over(upto) / BLOCK_CHARS))
-    blocks = [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = None
-    for block in blocks or [0]:
-        passages = Passages([(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == block).select("item_id", "text").collect()], q, rate)
-        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast(passages)), "doc_id long, item_id long, distance int, start long, end long")
+    for shared in _blocks(benchmark, q, rate, item_col, item_text):
+        part = source.mapInArrow(_reporter(shared), "doc_id long, item_id long, distance int, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _searcher(shared):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = shared.value
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that hold no passage of ``benchmark``. Scans only, no shuffle."""
+    for shared in _blocks(benchmark, q, rate, item_col, item_text):
+        docs = docs.mapInArrow(_filter(shared, text_col), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, q: int, rate: float, item_col: str, item_text: str) -> Iterator:
+    """Broadcasts of the passages, of BLOCK_CHARS characters (or one passage) at most each; one at least."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    upto = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = items.withColumn("block", F.floor(F.sum(F.length("text") + 1).over(upto) / BLOCK_CHARS))
+    for block in [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()] or [0]:
+        rows = numbered.where(F.col("block") == block).select("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Passages([(r["item_id"], r["text"]) for r in rows], q, rate))
+
+
+def leaks(passages: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, distance, first byte, end) of the best region of each text for each passage it holds."""
+    data, ends = text_buffers(texts.fill_null(""))
+    if not passages.ids:
+        return
+    for i, j in slices(ends, CHUNK):
+        x, cut, place = normalise(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        best: dict[tuple[int, int], tuple] = {}
+        for row, p, low, high in passages.regions(x, cut):
+            e = passages.edits[p]
+            a, b = max(int(cut[row]), low - e), min(int(cut[row + 1]), high + len(passages.texts[p]) + e)
+            got = banded(passages.texts[p], x[a:b], e)
+            if got and got[0] < best.get((row, p), (1 << 30,))[0]:
+                back = banded(passages.texts[p][::-1], x[a : a + got[1]][::-1], got[0])
+                start = a + got[1] - (back[1] if back else len(passages.texts[p]))
+                origin = int(ends[i + row] - ends[i])
+                best[row, p] = (got[0], int(place[start]) - origin, int(place[a + got[1] - 1]) + 1 - origin)
+        for (row, p), v in sorted(best.items()):
+            for item in passages.ids[p]:
+                yield i + row, item, *v
+
+
+def _reporter(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            data, ends = text_buffers(batch.column("text"))
-            rows = []
-            if not passages.ids:
-                continue
-            for i, j in slices(ends, CHUNK):
-                raw = data[ends[i] : ends[j]]
-                x, cut, place = normalise(raw, ends[i : j + 1] - ends[i])
-                best: dict[tuple[int, int], tuple] = {}
-                for row, p, low, high in passages.regions(x, cut):
-                    e = passages.edits[p]
-                    a, b = max(int(cut[row]), low - e), min(int(cut[row + 1]), high + len(passages.texts[p]) + e)
-                    got = banded(passages.texts[p], x[a:b], e)
-                    if got and got[0] < best.get((row, p), (1 << 30,))[0]:
-                        back = banded(passages.texts[p][::-1], x[a : a + got[1]][::-1], got[0])
-                        start = a + got[1] - (back[1] if back else len(passages.texts[p]))
-                        origin = int(ends[i + row] - ends[i])
-                        best[row, p] = (got[0], int(place[start]) - origin, int(place[a + got[1] - 1]) + 1 - origin)
-                rows += [(ids[i + row], item, *v) for (row, p), v in sorted(best.items()) for item in passages.ids[p]]
+            rows = [(ids[i], *rest) for i, *rest in leaks(shared.value, batch.column("text"))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "distance", "start", "end"])
 
-    return search
+    return run
+
+
+def _filter(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[i for i, *_ in leaks(shared.value, batch.column(text_col))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run

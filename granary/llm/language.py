@@ -176,25 +176,44 @@ def train(docs: DataFrame, where: Column, rows: int = TRAIN_ROWS, id_col: str =
     return model
 
 
+def label(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lang_pred, score and ambiguous of each text; ``und`` with score 0 where there is no letter or no model."""
+    texts = texts.fill_null("")
+    data, ends = text_buffers(texts)
+    n = len(texts)
+    if not (model and n):
+        return np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
+    known = has_letter(data, ends, texts)
+    best, score, second = model.decode(model.margins(data, ends))
+    names = np.array([*model.languages, "und"], object)
+    return names[np.where(known, best, len(names) - 1)], np.where(known, score, 0.0), known & (score - second < AMBIGUOUS)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row: `und` with score 0 where the text is null or has no letter."""
+    """doc_id, lang_pred, score, ambiguous for each row of ``docs``, whose whole texts are read.
+
+    ``und`` with score 0 where the text is null or has no letter, or where there was nothing to learn from. Repeated
+    rows and null ids pass through, an empty table gives an empty result; other columns are ignored.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score, ambiguous = label(batch.column("text"), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is told: neither ``und`` nor ambiguous. One scan, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            texts = texts.fill_null("")
-            data, ends = text_buffers(texts)
-            n = len(texts)
-            best, score, second = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            known = has_letter(data, ends, texts) if model else np.zeros(n, bool)
-            if model and n:
-                best, score, second = model.decode(model.margins(data, ends))
-            names = np.array([*(model.languages if model else []), "und"], object)
-            pred = names[np.where(known, best, len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & (score - second < AMBIGUOUS))], names=["doc_id", "lang_pred", "score", "ambiguous"])
-
-    return source.mapInArrow(label, "doc_id long, lang_pred string, score double, ambiguous boolean")
+            pred, _, ambiguous = label(batch.column(text_col), model)
+            yield batch.filter(pa.array((pred != "und") & ~ambiguous))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

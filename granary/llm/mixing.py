@@ -34,7 +34,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs:
     return s.select("sk", "source", "source_size", "weight", F.coalesce(F.least("cap", F.col("x") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 20, rows_per_bucket: int = 2000, most_buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 20, rows_per_bucket: int = 250, most_buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_crc32, source, size, source_size, target, copies (times it is taken), taken,
     and the columns named in ``keep``.
 
