@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language, mixing, neardup, sharding
+from . import blockdedup, decontamination, extraction, language, mixing, neardup, sharding
 from .common import table
 
 
@@ -44,8 +44,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_near_dedup, op7_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_near_dedup, op7_sharding, op9_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
