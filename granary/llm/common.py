@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word of the contracts: a run of bytes other than space, tab, LF, VT, FF and CR.
@@ -37,19 +37,19 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id in (kid, th) keys.
+NO_ID = -(1 << 63)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, text): text null as empty; th tells rows apart that share an id but not a text.
+    """(doc_id, kid, th, text): text null as empty, kid the id or NO_ID, th a hash of the text.
 
-    Rows alike in both are interchangeable, so (doc_id, th) serves as the row's key in joins: each copy still counts
-    as a row of its own wherever it is scanned, and each gets the result of the key.
+    Rows alike in (kid, th) have the same text, so that pair serves as the row's key in joins: each copy still counts as
+    a row of its own wherever it is scanned, and each gets the result of the key.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-
-
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of (doc_id, th)."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return slim.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("kid"), F.xxhash64("text").alias("th"), "text")
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockdedup, decontamination, extraction, language, mixing, neardup, sharding
+from . import blockdedup, decontamination, extraction, language, mixing, neardup, sharding, suffixdedup
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_near_dedup, op7_sharding, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_suffix_dedup, op5_near_dedup, op7_sharding, op9_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
