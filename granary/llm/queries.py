@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockdedup, decontamination, extraction, language, mixing, neardup, sharding, suffixdedup
+from . import blockdedup, decontamination, extraction, language, mixing, neardup, neighbours, sharding, suffixdedup
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def quality(labels: DataFrame) -> DataFrame:
     """(doc_id, quality): 2 for documents labelled as of high quality; all others count 1."""
     return labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(2.0).alias("quality")).distinct()
@@ -53,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_suffix_dedup, op5_near_dedup, op7_sharding, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_suffix_dedup, op5_near_dedup, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
