@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockdedup, decontamination, extraction, language, mixing, neardup, neighbours, sharding, suffixdedup
+from . import blockdedup, decontamination, extraction, language, mixing, neardup, neighbours, pii, sharding, suffixdedup
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_suffix_dedup, op5_near_dedup, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_suffix_dedup, op5_near_dedup, op6_personal_data, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
