@@ -6,9 +6,9 @@ of equal sets are one class from the start. Classes that agree in all registers
 of shared, larger and smaller registers gives the likelihood of the similarity, and pairs for which the threshold is
 out of the question go; the others are confirmed on their full sets.
 
-No bucket is expanded into all its pairs: first every class is held against the one centre that it meets most often,
-then against the other centres of its buckets if their components still differ, and only what is still apart is
-compared pair by pair. Links that would join what is joined already are not looked for; no other link is left out.
+No bucket is expanded into its pairs: first every class is held against the one centre that it meets most often, then
+against the other centres of its buckets if their components still differ, and what is apart after that is compared
+block by block on full sets. Links that would join what is joined already are not looked for; no other is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BASE = 1.001
 BANDS, ROWS = 40, 5
 #: Members compared with a centre in one group at most.
 GROUP = 128
+#: Members of a block where what is still apart is compared.
+BLOCK = 256
 CHUNK = 1 << 20
 
 
@@ -168,6 +170,57 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.unionByName(right).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
+def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one group ``lo`` with different labels, enough to join all that links join.
+
+    Groups are cut into blocks of about BLOCK members, and each two blocks are compared as a product of incidence
+    matrices: a member's set travels once for each block of its group, and no pair is emitted but the links kept.
+    """
+    sizes = apart.groupBy("lo").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = apart.join(sizes, "lo").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets, "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "codes")
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, labels, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]
+        first, second = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        size = np.array([len(x) for x in sets_], np.int64)
+        codes = np.concatenate(sets_)
+        owner = np.repeat(np.arange(len(sets_)), size)
+        _, column, df = np.unique(codes, return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            s, t = np.searchsorted(column, [c, c + 4096])
+            part = np.zeros((len(sets_), 4096), np.float32)
+            part[owner[s:t], column[s:t] - c] = 1
+            both += part[left] @ part[right].T
+        linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        linked &= labels[left][:, None] != labels[right][None, :]
+        parent = {x: x for x in labels.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(linked)):
+            p, q = root(int(labels[left[x]])), root(int(labels[right[y]]))
+            if p != q:
+                parent[p] = q
+                out.append((int(reps[left[x]]), int(reps[right[y]])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows.groupBy("lo", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -198,12 +251,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = materialize(confirm(rest, sets, percent).unionByName(done), "links")
     labels = _labels(links)
     here = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).select("band", "key", "rep", "label")
-    mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    open_ = materialize(here.join(mixed, ["band", "key"]), "open")
-    pairs = open_.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la")).join(open_.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("lb")), ["band", "key"]).where("a < b and la <> lb").select("a", "b").distinct()
-    pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    last = materialize(plausible(pairs, classes, percent / 100).distinct(), "last")
-    links = links.unionByName(confirm(last, sets, percent)).unionByName(same_id)
+    mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("hi")
+    apart = materialize(here.join(mixed, ["band", "key"]).select("lo", "rep", "label").distinct(), "apart")
+    links = links.unionByName(across(apart, sets, percent)).unionByName(same_id)
     final = connected_components(links)
     out = rows_.select("doc_id", "n").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
