@@ -108,11 +108,13 @@ class Model:
         return best, top[:, -1], top[:, -2] if p.shape[1] > 1 else np.zeros(len(p))
 
 
-def has_letter(data: np.ndarray, ends: np.ndarray, texts) -> np.ndarray:
+def has_letter(data: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
-    ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-    count = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = count[ends[1:]] > count[ends[:-1]]
+    out = np.zeros(len(texts), bool)
+    for i, j in slices(ends, CHUNK):
+        raw = data[ends[i] : ends[j]]
+        at = np.flatnonzero(((raw | 32) >= 97) & ((raw | 32) <= 122)) + ends[i]
+        out[i:j] = np.searchsorted(at, ends[i + 1 : j + 1]) > np.searchsorted(at, ends[i:j])
     for i in np.flatnonzero(~out & (ends[1:] > ends[:-1])):
         out[i] = any(ch.isalpha() for ch in texts[int(i)].as_py())
     return out
