@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, slices, text_buffers, word_hashes, word_spans
+from .common import NO_ID, keyed, mix64, slices, text_buffers, word_hashes, word_spans
 
 #: Parts of the hash space (the top bits of a hash choose one).
 PART_BITS = 8
@@ -38,13 +38,15 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shuffled(x: np.ndarray) -> bytes:
-    """The bytes of integers, all first bytes first, then all second ones: small numbers compress to little."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    """Differences of 64-bit integers, all first bytes first, then all second ones, compressed; their number before."""
+    step = np.diff(x, prepend=np.int64(0)).astype(np.int64)
+    return len(x).to_bytes(4, "little") + pa.compress(step.view(np.uint8).reshape(len(x), 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def unshuffled(raw: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel() if raw else np.zeros(0, kind)
+def unshuffled(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    step = np.frombuffer(pa.decompress(raw[4:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.cumsum(step.reshape(8, n).T.copy().view(np.int64).ravel())
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -54,8 +56,8 @@ def pack(ids: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.nda
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange((1 << PART_BITS) + 1))
     tail = hashes << np.uint64(PART_BITS)
-    if more is None:  # 48 bits with the part's
-        tail = (tail >> np.uint64(24)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5]
+    if more is None:  # 40 bits with the part's: a rare false hit only means more windows to compare
+        tail = (tail >> np.uint64(32)).view(np.uint8).reshape(-1, 8)[:, :4]
     else:  # 88 bits with the part's
         tail = np.hstack([tail.view(np.uint8).reshape(-1, 8), more.view(np.uint8).reshape(-1, 8)[:, :3]])
     for p in range(1 << PART_BITS):
@@ -63,7 +65,7 @@ def pack(ids: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.nda
         if len(at):
             own = owner[at]
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            yield p, shuffled(ids[own[new]]), shuffled(np.diff(np.append(new, len(own))).astype(np.int32)), shuffled(places[at].astype(np.int64)), tail[at].T.tobytes()
+            yield p, shuffled(ids[own[new]]), shuffled(np.diff(np.append(new, len(own)))), shuffled(places[at]), tail[at].T.tobytes()
 
 
 PACKED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
@@ -78,8 +80,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np
             held.setdefault(row[0], []).append(row[1:])
     for part in list(held):
         rows = held.pop(part)
-        docs = np.concatenate([np.repeat(unshuffled(d, np.int64), unshuffled(c, np.int32)) for d, c, _, _ in rows])
-        places = np.concatenate([unshuffled(x, np.int64) for _, _, x, _ in rows])
+        docs = np.concatenate([np.repeat(unshuffled(d), unshuffled(c)) for d, c, _, _ in rows])
+        places = np.concatenate([unshuffled(x) for _, _, x, _ in rows])
         raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1).T for _, _, _, x in rows])
         if width <= 8:
             wide = np.zeros((len(raw), 8), np.uint8)
@@ -103,7 +105,7 @@ def by_document(docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, byt
 
 def _places(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows[i : i + 10_000]], "places": [r[1] for r in rows[i : i + 10_000]]}, schema=pa.schema([("doc_id", pa.int64()), ("places", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"kid": [r[0] for r in rows[i : i + 10_000]], "places": [r[1] for r in rows[i : i + 10_000]]}, schema=pa.schema([("kid", pa.int64()), ("places", pa.binary())]))
 
 
 def probes(docs: DataFrame, window: int, block: int) -> DataFrame:
@@ -111,27 +113,27 @@ def probes(docs: DataFrame, window: int, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("kid").to_numpy(zero_copy_only=False)
             data, ends = text_buffers(batch.column("text"))
             for i, j in slices(ends, CHUNK):
                 words, cut = word_hashes(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], False)
                 code = rolling(words, block)
                 n = np.diff(cut)
-                n = np.where(n >= window, n - block + 1, 0)
+                n = np.where((n >= window) & (ids[i:j] != NO_ID), n - block + 1, 0)
                 at = np.concatenate([np.arange(s, s + k) for s, k in zip(cut[:-1], n)]) if n.sum() else np.zeros(0, np.int64)
                 rows = list(pack(ids[i:j], n, at - np.repeat(cut[:-1], n), code[at]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED_DDL)
+    return docs.select("kid", "text").mapInArrow(run, PACKED_DDL)
 
 
 def hits(packed: DataFrame, block: int) -> DataFrame:
-    """(doc_id, places): probes that meet a block of a smaller document, and blocks that a larger document's probe meets."""
+    """(kid, places): probes that meet a block of a smaller document, and blocks that a larger document's probe meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for docs, places, code in unpacked(batches, 5):
+        for docs, places, code in unpacked(batches, 4):
             anchored = places % block == 0
             index, at = np.unique(code[anchored], return_inverse=True)
             least = np.full(len(index), np.iinfo(np.int64).max)
@@ -146,16 +148,16 @@ def hits(packed: DataFrame, block: int) -> DataFrame:
             rows += by_document(docs[keep], places[keep])
         yield from _places(rows)
 
-    return packed.repartition("part").mapInArrow(run, "doc_id long, places binary")
+    return packed.repartition("part").mapInArrow(run, "kid long, places binary")
 
 
 def windows(docs: DataFrame, near: DataFrame, window: int, block: int) -> DataFrame:
     """Every window of ``window`` words that holds a hit, packed with 88 bits of its hash; each once."""
-    both = docs.join(near, "doc_id").select("doc_id", "th", "text", "places")
+    both = docs.join(near, "kid").select("kid", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("kid").to_numpy(zero_copy_only=False)
             tags = (batch.column("th").to_numpy(zero_copy_only=False) & 0xFFFF) << 32  # tells texts apart that share an id
             near_ = batch.column("places").to_pylist()
             data, ends = text_buffers(batch.column("text"))
@@ -182,7 +184,7 @@ def windows(docs: DataFrame, near: DataFrame, window: int, block: int) -> DataFr
 
 
 def repeated(packed: DataFrame) -> DataFrame:
-    """(doc_id, places): windows whose words start in a smaller document too."""
+    """(kid, places): windows whose words start in a smaller document too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -195,7 +197,7 @@ def repeated(packed: DataFrame) -> DataFrame:
             rows += by_document(docs[later], places[later])
         yield from _places(rows)
 
-    return packed.repartition("part").mapInArrow(run, "doc_id long, places binary")
+    return packed.repartition("part").mapInArrow(run, "kid long, places binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,16 +208,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     than none: nothing goes from them, nor because of them. Rows that share an id do not take from each other. An empty table gives an empty result; other columns are ignored.
     """
     block = (window + 1) // 2
-    rows = keyed(docs, id_col, text_col)
-    named = rows.where("doc_id is not null")
-    gather = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    near = gather(hits(probes(named, window, block), block))
-    over = gather(repeated(windows(named.select("doc_id", "th", "text"), near, window, block)))
-    both = rows.join(over, "doc_id", "left").select("doc_id", "th", "text", "places")
+    # both joins read the same columns, so that the texts are exchanged once
+    rows = keyed(docs, id_col, text_col).select("kid", "th", "text")
+    gather = lambda df: df.groupBy("kid").agg(F.collect_list("places").alias("places"))
+    near = gather(hits(probes(rows, window, block), block))
+    over = gather(repeated(windows(rows, near, window, block)))
+    both = rows.join(over, "kid", "left").select("kid", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc_id").to_pylist(), batch.column("places").to_pylist()
+            ids, places = batch.column("kid").to_pylist(), batch.column("places").to_pylist()
             tags = batch.column("th").to_numpy(zero_copy_only=False) & 0xFFFF
             data, ends = text_buffers(batch.column("text"))
             out = []
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 text = raw.tobytes()
                 kept = b" ".join([text[s:t] for s, t in zip(starts[~gone].tolist(), stops[~gone].tolist())])
-                out.append((ids[i], len(starts), int(gone.sum()), spans, kept.decode(), hashlib.sha256(kept).hexdigest()))
+                out.append((None if ids[i] == NO_ID else ids[i], len(starts), int(gone.sum()), spans, kept.decode(), hashlib.sha256(kept).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_words", "n_removed", "n_spans", "kept_text", "kept_sha256"])
 
