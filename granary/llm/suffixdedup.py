@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, powers, slices, text_buffers
+from .common import NO_ID, keyed, materialize, mix64, powers, slices, text_buffers
 
 GRAM = 128
 PARTS = 512
@@ -380,18 +380,20 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = GRAM,
     are rows like others, repeated rows repeat each other; an empty table gives an empty result. Other columns are
     ignored.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).select("kid", "th", "text")
     every = find_anchors(rows, window, gram)
-    twice = every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    # written out, so that the join reads two plain exchanges and a hot k-gram's rows can be split
+    twice = materialize(every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "grams")
     found = every.join(twice, "hash")
     spots = F.struct("hash", "at", "lo", "hi")
     by_row = found.groupBy("kid", "th").agg(F.collect_list(F.when(F.col("times") <= hot, spots)).alias("spots"), F.collect_list(F.when(F.col("times") > hot, spots)).alias("hot"))
-    both = rows.select("kid", "th", "text").join(by_row, ["kid", "th"])
+    both = rows.join(by_row, ["kid", "th"])
     runs = sorted_runs(both.where(F.size("spots") > 0).select("kid", "th", "text", "spots"), window, parts)
     ranges = merged(runs, window, gram)
     ranges = ranges.unionByName(hot_ranges(hot_windows(both.where(F.size("hot") > 0).select("kid", "th", "text", F.col("hot").alias("spots")), window, parts)))
     gone = ranges.groupBy("kid", "th").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    last = rows.select("kid", "th", "doc_id", "text").join(gone, ["kid", "th"], "left").select("doc_id", "text", "gone")
+    doc_id = F.when(F.col("kid") != NO_ID, F.col("kid")).alias("doc_id")
+    last = rows.join(gone, ["kid", "th"], "left").select(doc_id, "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
