@@ -180,8 +180,8 @@ def f1(prediction, truth) -> Column:
 
 def ngrams(tokens_: Column, n: int) -> Column:
     """All runs of n tokens, joined by spaces."""
-    last = F.size(tokens_) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens_, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+    return let(tokens_, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<string>")))
 
 
 def parse_score(x) -> Column:

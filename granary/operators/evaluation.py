@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import col
+from ..functions.text import col, let
 
 Equal = Callable[[Column, Column], Column]
 
@@ -20,9 +20,12 @@ def pass_at(samples, gold, k: int, equal: Equal) -> Column:
 
 def vote(samples, k: int) -> Column:
     """The most frequent of the first k samples, nulls being votes too; of equals the first seen."""
-    some = F.slice(col(samples), 1, k)
-    counted = F.transform(some, lambda s, i: F.struct(F.size(F.filter(some, lambda x: x.eqNullSafe(s))).alias("n"), (-i).alias("first"), s.alias("s")))
-    return F.array_max(counted)["s"]
+
+    def winner(some: Column) -> Column:
+        count = lambda s: F.size(F.filter(some, lambda x: x.eqNullSafe(s)))
+        return F.array_max(F.transform(some, lambda s, i: F.struct(count(s).alias("n"), (-i).alias("first"), s.alias("s"))))["s"]
+
+    return let(F.slice(col(samples), 1, k), winner)
 
 
 def consensus_at(samples, gold, k: int, equal: Equal) -> Column:

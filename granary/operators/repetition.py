@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clauses, col, count_matches, ngrams, paragraphs, strip, words
+from ..functions.text import clauses, let, ngrams, paragraphs, strip, words
 
 # Signs, patterns and phrases of the rules, in natural order.
 SIGNS = "=+-*/^()[]{}<>|&~!@#$%\\"
@@ -55,10 +55,10 @@ def is_formula(x: Column) -> Column:
 
 def is_short_phrase(x: Column) -> Column:
     """Holds a common phrase, as a substring anywhere (so nearly all sentences do), or is a bare comparison."""
-    low = F.lower(x)
-    code = F.array(*[F.lit(w) for w in ("import", "from", "return", "def", "class", "if", "for", "while")])
-    held = F.exists(F.array(*[F.lit(p) for p in PHRASES]), lambda p: F.contains(low, p))
-    return held | (x.rlike(r"(?U)^\w+\s*[<>]\s*\w+$") & ~F.exists(code, lambda w: F.contains(low, w)))
+    names = lambda words_: F.array(*[F.lit(w) for w in words_])
+    code = names(["import", "from", "return", "def", "class", "if", "for", "while"])
+    bare = lambda low: low.rlike(r"(?U)^\w+\s*[<>]\s*\w+$") & ~F.exists(code, lambda w: F.contains(low, w))
+    return let(F.lower(x), lambda low: F.exists(names(PHRASES), lambda p: F.contains(low, p)) | bare(low))
 
 
 def is_list(x: Column) -> Column:
