@@ -87,7 +87,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the undirected ``edges`` (a, b): the smallest node that can be reached.
+    """(node, component) of the undirected ``edges`` (a, b): the smallest node that can be reached; nodes that are it do not appear.
 
     Alternating large-star and small-star (Kiveris et al. 2014): every round is two shuffles that keep each edge
     once; neighbours of a node are never gathered, only their minimum. Rounds grow with the logarithm of the diameter.
