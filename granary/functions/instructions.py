@@ -7,6 +7,7 @@ Rules that need a trained sentence splitter, tokenizer or language detector use
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -563,5 +564,22 @@ def follows(text, constraints: list[tuple[str, dict]]) -> Column:
     """Share of the constraints that the text meets; 0 without any."""
     if not constraints:
         return F.lit(0.0)
-    met = [F.coalesce(CONSTRAINTS[name](text, **options), F.lit(False)).cast("double") for name, options in constraints]
+    met = [check(text, name, options).cast("double") for name, options in constraints]
     return sum(met[1:], met[0]) / len(met)
+
+
+#: Parameter names of other registries for the same constraints.
+PARAMETERS = {
+    "num_sentences": "n", "num_placeholders": "n", "num_bullets": "n", "num_highlights": "n", "num_sections": "n", "num_paragraphs": "n", "num_words": "n", "frequency": "n", "let_frequency": "n", "capital_frequency": "n",
+    "small_n": "n", "N": "n", "num_key_sentences": "n", "let_relation": "relation", "capital_relation": "relation", "section_spliter": "splitter", "postscript_marker": "marker", "nth_paragraph": "k", "first_word": "word",
+    "last_word": "word", "forbidden_words": "words_", "prompt_to_repeat": "prompt", "end_phrase": "phrase", "n_start": "start", "n_end": "end", "n_sent": "n_sentences", "keyword1": "once", "keyword2": "twice",
+    "original_paragraph": "original", "original_message": "reference",
+}
+
+
+def check(text, name: str, options: dict) -> Column:
+    """A constraint by name with its parameters under either name; those it does not take are left out. Never null."""
+    f = CONSTRAINTS[name]
+    takes = set(inspect.signature(f).parameters) - {"text"}
+    given = {PARAMETERS.get(k, k) if k not in takes else k: v for k, v in options.items() if v is not None}
+    return F.coalesce(f(text, **{k: v for k, v in given.items() if k in takes}), F.lit(False))

@@ -12,7 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .maths import final_answer_phrase, math_candidates, normalize_final_answer, same_answer, same_value
-from .text import after_last, before_first, col, f1, last_boxed, last_number, normalize_answer, remove_thinking, replace_all, split_plain, strip, words
+from .text import (
+    after_last,
+    before_first,
+    col,
+    f1,
+    last_boxed,
+    last_number,
+    normalize_answer,
+    parse_decision,
+    parse_json_score,
+    parse_score,
+    remove_thinking,
+    replace_all,
+    strip,
+    words,
+)
 
 VERIFIERS: dict[str, Callable[..., Column]] = {}
 
@@ -136,6 +151,20 @@ def verify(name, prediction, label, only: list[str] | None = None, **options) ->
     return out
 
 
+#: How a judge's reply becomes a score, by the kind of prompt it was given.
+EXTRACTORS: dict[str, Callable[..., Column]] = {
+    "text": parse_score,
+    "decision": parse_decision,
+    "json": parse_json_score,
+    "json_of_ten": lambda reply: parse_json_score(reply, 10.0),
+}
+
+
+def judged(reply, kind: str = "json") -> Column:
+    """The score in a judge's reply; the reply comes from a table of saved judgements."""
+    return EXTRACTORS[kind](reply)
+
+
 #: Tiers of a response's format, best first, with the share of the reward; the best tier that any response of a batch reaches counts for all.
 FORMATS = [
     (r"(?is)^.*?<python>.*?</python>.*?<result>.*?</result>", 1.0),

@@ -38,17 +38,19 @@ def exact_match(index: DataFrame, queries: DataFrame, key: str, fields: list[str
     Candidates share the phrase's first tokens (up to 8) with their place; the rest is compared there.
     """
     head = 8
-    docs = index.select("original_id", analyse("text", pattern).alias("d")).where(F.size("d") > 0)
+    docs = index.select("original_id", analyse("text", pattern).alias("_d")).where(F.size("_d") > 0).withColumn("_dh", F.xxhash64("_d"))
     out = None
     for field in fields:
-        phrase = queries.where(F.col(field).isNotNull()).select(key, analyse(field, pattern).alias("q")).where(F.size("q") > 0)
-        phrase = phrase.withColumn("n", F.least(F.size("q"), F.lit(head)))
-        anchors = phrase.select(key, "q", "n", F.xxhash64(F.slice("q", 1, F.col("n"))).alias("h"))
-        sizes = [r["n"] for r in phrase.select("n").distinct().collect()]  # at most 8 numbers
+        phrase = queries.where(F.col(field).isNotNull()).select(key, analyse(field, pattern).alias("_q")).where(F.size("_q") > 0)
+        phrase = phrase.withColumn("_n", F.least(F.size("_q"), F.lit(head)))
+        anchors = phrase.select(key, "_q", "_n", F.xxhash64(F.slice("_q", 1, F.col("_n"))).alias("_h"))
+        sizes = [r["_n"] for r in phrase.select("_n").distinct().collect()]  # at most 8 numbers
         hits = None
         for n in sizes:
-            grams = docs.where(F.size("d") >= n).select("original_id", "d", F.posexplode(_starts("d", n)).alias("at", "h"))
-            part = grams.join(anchors.where(F.col("n") == n), "h").where(F.slice("d", F.col("at") + 1, F.size("q")) == F.col("q")).select(key, "original_id")
+            # places travel without their text; the few that meet a phrase's head fetch it again to be compared
+            grams = docs.where(F.size("_d") >= n).select("original_id", "_dh", F.posexplode(_starts("_d", n)).alias("_at", "_h"))
+            met = grams.join(anchors.where(F.col("_n") == n), "_h").select(key, "_q", "original_id", "_dh", "_at")
+            part = met.join(docs, ["original_id", "_dh"]).where(F.slice("_d", F.col("_at") + 1, F.size("_q")) == F.col("_q")).select(key, "original_id")
             hits = part if hits is None else hits.union(part)
         found = (hits if hits is not None else queries.select(key).limit(0).withColumn("original_id", F.lit(None).cast("long"))).distinct()
         out = found if out is None else out.join(found, [key, "original_id"])
@@ -65,18 +67,18 @@ def ngram_scores(index: DataFrame, queries: DataFrame, key: str, fields: list[st
 
     ``compat``: of an n-gram that a query has twice only the last place counts. Rows that share no n-gram do not appear.
     """
-    docs = index.select("original_id", F.explode(F.array_distinct(ngrams(analyse("text", pattern), n))).alias("g")).distinct()
+    docs = index.select("original_id", F.explode(F.array_distinct(ngrams(analyse("text", pattern), n))).alias("_g"))
     scores = None
     for field in fields:
-        q = queries.select(key, analyse(field, pattern).alias("q")).where(F.size("q") > 0)
-        grams = q.select(key, F.size("q").alias("size"), F.posexplode(ngrams(F.col("q"), n)).alias("at", "g"))
+        q = queries.select(key, analyse(field, pattern).alias("_q")).where(F.size("_q") > 0)
+        grams = q.select(key, F.size("_q").alias("_size"), F.posexplode(ngrams(F.col("_q"), n)).alias("_at", "_g"))
         if compat:
-            grams = grams.groupBy(key, "size", "g").agg(F.max("at").alias("at"))
-        spots = docs.join(grams, "g").groupBy(key, "original_id", "size").agg(F.sort_array(F.collect_set("at")).alias("spots"))
+            grams = grams.groupBy(key, "_size", "_g").agg(F.max("_at").alias("_at"))
+        spots = docs.join(grams, "_g").groupBy(key, "original_id", "_size").agg(F.sort_array(F.collect_set("_at")).alias("_spots"))
         # covered tokens: each place adds what the one before has not covered yet
-        before = F.concat(F.array(F.lit(-n)), F.slice("spots", 1, F.greatest(F.size("spots") - 1, F.lit(0))))
-        covered = F.aggregate(F.zip_with("spots", before, lambda a, b: F.least(a - b, F.lit(n))), F.lit(0), lambda s, x: s + x)
-        part = spots.select(key, "original_id", (covered / F.col("size") / len(fields)).alias("s"))
+        before = F.concat(F.array(F.lit(-n)), F.slice("_spots", 1, F.greatest(F.size("_spots") - 1, F.lit(0))))
+        covered = F.aggregate(F.zip_with("_spots", before, lambda a, b: F.least(a - b, F.lit(n))), F.lit(0), lambda s, x: s + x)
+        part = spots.select(key, "original_id", (covered / F.col("_size") / len(fields)).alias("s"))
         scores = part if scores is None else scores.union(part)
     return scores.groupBy(key, "original_id").agg(F.sum("s").alias("score"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.instructions import CONSTRAINTS, check
 from ..functions.verifiers import FORMATS, verify
 
 
@@ -82,3 +85,23 @@ def accepted_tests(df: DataFrame, tests: str, results: str, share: float = 0.8)
     n, good = F.size(results), F.size(F.filter(results, lambda r: r == 1))
     passed = F.transform(F.filter(F.arrays_zip(F.col(tests).alias("t"), F.col(results).alias("r")), lambda x: x["r"] == 1), lambda x: x["t"])
     return df.where((n > 0) & (good >= share * n)).withColumn(tests, passed)
+
+
+def instruction_scores(df: DataFrame, key: str, text: str, label: str, most: int = 2000) -> DataFrame:
+    """(key, score): share of a row's constraints that its text meets; 0 without any, unknown names count as not met.
+
+    ``label`` is JSON: {"instruction_id": [names], "kwargs": [{...} or null]}, or a list with one such object. Predicates
+    are Columns with fixed parameters, so the distinct constraints, ``most`` at most, are planned one by one.
+    """
+    kind = "struct<instruction_id:array<string>,kwargs:array<string>>"
+    parsed = F.coalesce(F.from_json(label, kind), F.try_element_at(F.from_json(label, f"array<{kind}>"), F.lit(1)))
+    pairs = df.select(key, F.col(text).alias("_t"), parsed.alias("_p")).select(key, "_t", F.explode_outer(F.arrays_zip(F.col("_p.instruction_id").alias("i"), F.col("_p.kwargs").alias("k"))).alias("_x"))
+    rows = pairs.select(key, "_t", F.col("_x.i").alias("_i"), F.coalesce("_x.k", F.lit("{}")).alias("_k"))
+    specs = rows.where("_i is not null").select("_i", "_k").distinct().limit(most + 1).collect()
+    if len(specs) > most:
+        raise ValueError(f"more than {most} distinct constraints")
+    met = F.lit(False)
+    for s in specs:
+        if s["_i"] in CONSTRAINTS:
+            met = F.when((F.col("_i") == s["_i"]) & (F.col("_k") == s["_k"]), check("_t", s["_i"], json.loads(s["_k"]) or {})).otherwise(met)
+    return rows.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("_i").isNotNull(), met.cast("double"))), F.lit(0.0)).alias("score"))
