@@ -94,7 +94,8 @@ def instruction_scores(df: DataFrame, key: str, text: str, label: str, most: int
     are Columns with fixed parameters, so the distinct constraints, ``most`` at most, are planned one by one.
     """
     kind = "struct<instruction_id:array<string>,kwargs:array<string>>"
-    parsed = F.coalesce(F.from_json(label, kind), F.try_element_at(F.from_json(label, f"array<{kind}>"), F.lit(1)))
+    listed = F.trim(F.col(label)).startswith("[")
+    parsed = F.when(listed, F.try_element_at(F.from_json(label, f"array<{kind}>"), F.lit(1))).otherwise(F.from_json(label, kind))
     pairs = df.select(key, F.col(text).alias("_t"), parsed.alias("_p")).select(key, "_t", F.explode_outer(F.arrays_zip(F.col("_p.instruction_id").alias("i"), F.col("_p.kwargs").alias("k"))).alias("_x"))
     rows = pairs.select(key, "_t", F.col("_x.i").alias("_i"), F.coalesce("_x.k", F.lit("{}")).alias("_k"))
     specs = rows.where("_i is not null").select("_i", "_k").distinct().limit(most + 1).collect()
