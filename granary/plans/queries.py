@@ -244,11 +244,11 @@ def mix_shares(spark, sf):
 
 
 @query("""with r as (select *, row_number() over (partition by lang order by doc_id) as k from documents where lang in ('en', 'fr'))
-select lang as dataset_source, doc_id from r where k <= case lang when 'en' then 100 else 50 end""")
+select lang as dataset_source, doc_id from r where k <= case lang when 'en' then 40 else 10 end""")
 def mix_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     parts = {x: docs.where(F.col("lang") == x) for x in ("en", "fr")}
-    return sampling.mix(parts, {"en": sampling.amount("100"), "fr": sampling.amount("50")}, "doc_id", seed=None).select("dataset_source", "doc_id")
+    return sampling.mix(parts, {"en": sampling.amount("40"), "fr": sampling.amount("10")}, "doc_id", seed=None).select("dataset_source", "doc_id")
 
 
 @query("""with n as (select count(*) as n from labels), c as (select (5 * n // 2) as want, n from n) select want as "rows", n as distinct_docs, want // n as fewest, want // n + case when want % n > 0 then 1 else 0 end as most from c""")
@@ -506,11 +506,11 @@ def acceptance(spark, sf):
     return out.select("model", "n", rounded("acceptance").alias("acceptance"), rounded("agreement").alias("agreement"))
 
 
-@query("select day(ts)::int as training_step, round(avg(value), 6) as mean_score, round(avg((value > 20)::int), 6) as solve_rate, count(value) as n from events group by 1")
+@query("select day(ts)::int as training_step, round(sum(value) - 20 * count(*), 2) as total_score, round(avg((value > 20)::int), 6) as solve_rate, count(value) as n from events group by 1")
 def trace_statistics(spark, sf):
     rows = table(spark, sf, "events").select(F.dayofmonth("ts").alias("training_step"), "value", (F.col("value") - 20).alias("scores"))
-    means = evaluation.trace_statistics(rows).select("training_step", "solve_rate", "n", (F.col("mean_score") + 20).alias("mean_score"))
-    return means.select("training_step", rounded("mean_score").alias("mean_score"), rounded("solve_rate").alias("solve_rate"), "n")
+    out = evaluation.trace_statistics(rows)
+    return out.select("training_step", rounded(F.col("mean_score") * F.col("n"), 2).alias("total_score"), rounded("solve_rate").alias("solve_rate"), "n")
 
 
 @query("select user_id, round(avg(value), 6) as reward, list_aggregate(list_sort(list(event_id)), 'string_agg', ',') as ids, arg_max(event_type, event_id) as last_type from events group by user_id")

@@ -10,7 +10,7 @@ from granary.functions import maths, templates, text, utilization, verifiers
 
 
 def value(spark, column, **row):
-    row = row or {"x": 1}
+    row = row or {"x": 1.0}
     names = list(row)
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} {'string' if isinstance(row[n], (str, type(None))) else 'array<double>' if isinstance(row[n], list) else 'double'}" for n in names)).select(column.alias("v")).first()["v"]
 
