@@ -70,3 +70,16 @@ def test_contracts_of_the_queries(spark):
         if name.split("_")[0] in ("op2", "op4", "op5", "op6", "op7", "op9", "op10"):
             assert df.count() == n
     assert language.held_out() is not None
+
+
+def test_queries_against_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SMALL)
+        want = con.execute(sql)
+        names = [d[0] for d in want.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(want.fetchall())
