@@ -668,6 +668,268 @@ def preference_losses(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", rounded(loss).alias("loss"))
 
 
+# conversion of other tables
+
+
+@query("""select o_orderkey, 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || o_orderpriority || chr(10) || chr(10) || '### Input:' || chr(10) || o_orderstatus || chr(10) || chr(10) || '### Response:' as prompt, o_custkey::varchar as answer from orders""")
+def instruction_records(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("instruction"), F.col("o_orderstatus").alias("input"), F.col("o_custkey").cast("string").alias("output"))
+    return convert.auto_convert(rows).select("o_orderkey", F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["content"].alias("answer"))
+
+
+@query("""select conv_id, string_agg(case role when 'assistant' then 'gpt>assistant' when 'user' then 'human>user' else 'system>system' end, ',' order by turn) as roles from conversations group by conv_id""")
+def role_mapping(spark, sf):
+    name = F.when(F.col("role") == "assistant", "gpt").when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("from"), F.col("text").alias("value")))).alias("t"))
+    mapped = turns.withColumn("m", convert.from_turns("t"))
+    return mapped.select("conv_id", F.array_join(F.zip_with("t", "m", lambda a, b: F.concat(a["from"], F.lit(">"), b["role"])), ",").alias("roles"))
+
+
+@query("""select conv_id, 1 + count(*) filter (not (turn = m and role = 'system')) as n, 'Be brief.' as first from (select *, min(turn) over (partition by conv_id) as m from conversations) group by conv_id""")
+def system_prompts(spark, sf):
+    out = chats(spark, sf).select("conv_id", convert.with_system("messages", "Be brief.").alias("m"))
+    return out.select("conv_id", F.size("m").cast("long").alias("n"), F.col("m")[0]["content"].alias("first"))
+
+
+@query("""select item_id || '-' || k as id, md5(text) as text from benchmark, range(5) r(k)""")
+def replicate_five(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.md5("text").alias("text"))
+    return convert.replicate(rows, 5)
+
+
+@query("""select n.n_nationkey as n, (n.n_nationkey // 5) % 10 + 1 as difficulty, r.r_name as category from nation n join region r on n.n_nationkey % 5 = r.r_regionkey""")
+def category_enumeration(spark, sf):
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("i"), F.col("r_name").alias("category"))
+    numbers = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
+    return convert.enumerate_categories(numbers, regions, 5).select(F.col("n").cast("int").alias("n"), "difficulty", "category")
+
+
+@query("""select n_name as persona, replace(t, '{persona}', n_name) as prompt from nation, (values ('Ask {persona} a question.'), ('Write as {persona}.')) v(t)""")
+def persona_prompts(spark, sf):
+    shapes = spark.createDataFrame([("Ask {persona} a question.",), ("Write as {persona}.",)], ["template"])
+    return convert.persona_prompts(table(spark, sf, "nation").select(F.col("n_name").alias("persona")), shapes).select("persona", "prompt")
+
+
+@query("""with c as (select conv_id, list(text order by turn) filter (role = 'assistant') as a from conversations group by conv_id) select conv_id, unnest(range(len(a)))::int as completion_index, md5(unnest(a)) as completion from c""")
+def exploded_completions(spark, sf):
+    rows = chats(spark, sf).withColumn("completions", F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: m["content"]))
+    return convert.explode_completions(rows).select("conv_id", "completion_index", F.md5("completion").alias("completion"))
+
+
+@query("""select p_partkey, chr((64 + list_position(list_sort([lower(p_brand), lower(p_type), lower(p_name)]), lower(p_name)))::int) as letter from part""")
+def lettered_choices(spark, sf):
+    out = convert.lettered_choices(table(spark, sf, "part"), "p_name", "p_name", ["p_brand", "p_type"])
+    return out.select("p_partkey", F.col("ground_truth")[0].alias("letter"))
+
+
+@query("""select o_orderkey, o_totalprice::varchar as answer from orders""")
+def split_rationales(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("q").alias("question"), F.concat(F.lit("because\n#### "), F.col("o_totalprice").cast("string"), F.lit(" ")).alias("answer"))
+    return convert.split_rationale(rows).select("o_orderkey", F.col("ground_truth")[0].cast("double").cast("string").alias("answer"))
+
+
+@query("""select conv_id, turn, '<think>a</think>' || chr(10) || '<answer>' || trim(text, ' ' || chr(10)) || '</answer>' as tagged from conversations""")
+def answer_tags(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", convert.add_answer_tags(F.concat(F.lit("<think>a</think>"), "text")).alias("tagged"))
+
+
+# more filters and joins
+
+
+@query("""select conv_id, arg_max(regexp_matches(text, '[éèê]') and len(regexp_extract_all(text, '[éèê]')) / length(text) >= 0.02, turn) as accented from conversations where role = 'assistant' group by conv_id""")
+def script_filter(spark, sf):
+    rows = chats(spark, sf).where(F.exists("messages", lambda m: m["role"] == "assistant"))
+    return rows.select("conv_id", filters.in_script("messages", "[éèê]", 0.02).alias("accented"))
+
+
+@query("""select doc_id, doc_id % 3 = 0 as thinks, doc_id % 5 <> 0 as safe from documents""")
+def format_and_safety(spark, sf):
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>x</think>"), "text")).otherwise(F.col("text"))
+    code = F.when(F.col("doc_id") % 5 == 0, "import os; os.remove('x')").otherwise("print(1)")
+    return table(spark, sf, "documents").select("doc_id", filters.thinks(F.array(convert.message("assistant", body))).alias("thinks"), filters.is_safe(code).alias("safe"))
+
+
+@query("""select l_orderkey as id, l_linenumber, o_orderstatus, o_custkey from lineitem join orders on l_orderkey = o_orderkey""")
+def overlay_originals(spark, sf):
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    originals = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_custkey")
+    return joins.overlay(results, originals, "id", ["o_custkey"])
+
+
+@query("""with f as (select conv_id, arg_min(text, turn) as t from conversations group by conv_id) select a.conv_id, b.conv_id as other from f a join f b on sha256(a.t) = sha256(b.t)""")
+def same_first_message(spark, sf):
+    c = chats(spark, sf)
+    return joins.by_first_message(c, c.withColumnRenamed("conv_id", "other")).select("conv_id", "other")
+
+
+@query("""select (select count(*) from orders) as requests, count(distinct o_orderkey) as answered, (select count(*) from orders) - count(distinct o_orderkey) as open from orders join lineitem on l_orderkey = o_orderkey and l_returnflag = 'R'""")
+def response_cache(spark, sf):
+    requests = table(spark, sf, "orders").select("o_orderkey")
+    saved = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    hit, miss = joins.cached(requests, saved, "o_orderkey")
+    return requests.agg(F.count("*").alias("requests")).join(hit.agg(F.count("*").alias("answered")), F.lit(True)).join(miss.agg(F.count("*").alias("open")), F.lit(True))
+
+
+@query("""with r as (select *, row_number() over (order by doc_id) as k from documents) select doc_id from r where k > 20 and k <= 50""")
+def page_of_rows(spark, sf):
+    return sampling.page(table(spark, sf, "documents").select("doc_id"), 20, 30, ["doc_id"])
+
+
+@query("""with r as (select doc_id, n_chars, sum(n_chars) over (order by doc_id) - n_chars as b from documents) select doc_id, least(n_chars, 50000 - b)::bigint as taken from r where b < 50000""")
+def running_cap(spark, sf):
+    return sampling.running_cap(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 50_000, ["doc_id"]).select("doc_id", F.col("taken").cast("long").alias("taken"))
+
+
+# more evaluation and rewards
+
+
+@query("""with c as (select o_orderpriority as metric, avg((o_totalprice > 150000)::int) as a, avg((o_totalprice > 250000)::int) as b from orders group by 1) select 'run10' as run, 10 as step, round(max(a) filter (metric = '1-URGENT'), 6) as urgent, round(max(a) filter (metric = '5-LOW'), 6) as low from c union all select 'run20', 20, round(max(b) filter (metric = '1-URGENT'), 6), 0.0 from c""")
+def run_comparison(spark, sf):
+    rate = lambda limit: table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("metric")).agg(F.avg((F.col("o_totalprice") > limit).cast("int")).alias("accuracy"))
+    wide = evaluation.compare_runs({"run20": rate(250000).where("metric <> '5-LOW'"), "run10": rate(150000)})
+    return wide.select("run", "step", rounded("`1-URGENT`").alias("urgent"), rounded("`5-LOW`").alias("low"))
+
+
+@query("""select event_id, round(least(cast(json_extract(props, '$.k') as double), 1e9), 4) as k from events""")
+def metric_lookup(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.struct((F.get_json_object("props", "$.k").cast("double") + 1000).alias("k")).alias("m"))).alias("metrics"))
+    return evaluation.metric_table(rows, {"k": "$.m.k"}).select("event_id", (F.col("k") - 1000).alias("k"))
+
+
+TRACES_SQL = "with t as (select day(ts)::int as training_step, value, event_type, row_number() over (partition by day(ts) order by ts, event_id) - 1 as sample from events)"
+
+
+def traces(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "event_type")))
+    days = table(spark, sf, "events").groupBy(F.dayofmonth("ts").alias("training_step")).agg(rows.alias("r"))
+    return days.select("training_step", F.transform("r", lambda x: x["value"]).alias("scores"), F.transform("r", lambda x: x["event_type"]).alias("responses"))
+
+
+@query(TRACES_SQL + " select training_step, sample::int as sample, value as scores, event_type as responses from t")
+def trace_samples(spark, sf):
+    return evaluation.explode_trace(traces(spark, sf)).select("training_step", "sample", "scores", "responses")
+
+
+@query(TRACES_SQL + ", s as (select training_step, max(value) as m, count(*) as n from t group by 1) select training_step, n::int as n from s where m >= 250")
+def trace_filter(spark, sf):
+    return evaluation.filter_traces(traces(spark, sf), at_least=250.0).select("training_step", F.size("scores").alias("n"))
+
+
+@query("select count(value) as n, min(value) as min, max(value) as max, count_if(value = 10) as perfect, count_if(value = 0) as zero, round(stddev_pop(value), 4) as std from events")
+def score_summary(spark, sf):
+    return evaluation.score_summary(table(spark, sf, "events"), "value").select("n", "min", "max", "perfect", "zero", rounded("std", 4).alias("std"))
+
+
+@query("""select count(*) as batches, sum(event_id)::bigint as tokens, list_aggregate(list_sort(list(distinct event_type)), 'string_agg', ',') as reasons from events""")
+def generation_report(spark, sf):
+    out = evaluation.generation_report(table(spark, sf, "events"), "value", "event_id", "event_type")
+    return out.select("batches", "tokens", F.array_join(F.array_sort(F.map_keys("reasons")), ",").alias("reasons"))
+
+
+@query("""with e as (select user_id, event_type, event_id, row_number() over (partition by user_id order by event_id) as k from events where event_type <> 'error'), v as (select user_id, event_type, count(*) as n, min(event_id) as f, max(event_id) as l from e group by 1, 2) select user_id, arg_max(l, (n, -f)) as answer, max(n) as votes from v group by user_id""")
+def raw_vote(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("form"))
+    return evaluation.raw_vote(rows.withColumn("raw", F.col("event_id")), "user_id", "event_id", "raw", "form")
+
+
+@query(ANNOTATIONS_SQL + """, d as (select evaluator, count(distinct instance_id) as done from a group by 1), u as (select distinct user_id::varchar as evaluator from events) select evaluator, coalesce(done, 0) as done from u left join d using (evaluator) union all select 'all', sum(done)::bigint from d""")
+def annotation_progress(spark, sf):
+    rows = annotations(spark, sf).withColumnRenamed("instance_id", "instance_index")
+    return evaluation.progress(rows, rows.select("evaluator").distinct(), 200)[0]
+
+
+@query(ANNOTATIONS_SQL + """, u as (select distinct evaluator from a), x as (select evaluator, i as instance_index from u, range(200) r(i)) select x.evaluator, x.instance_index::int as instance_index from x left join (select distinct evaluator, instance_id from a) d on x.evaluator = d.evaluator and x.instance_index = d.instance_id where d.evaluator is null""")
+def missing_annotations(spark, sf):
+    rows = annotations(spark, sf).select("evaluator", F.col("instance_id").cast("int").alias("instance_index"), "timestamp")
+    return evaluation.progress(rows, rows.select("evaluator").distinct(), 200)[1]
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then 2.0 else 0.0 end + case when o_custkey % 2 = 0 then 0.5 else 0.0 end as reward from orders""")
+def weighted_rewards(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("The answer is: "), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).otherwise("unknown")).alias("prediction"),
+        F.array(F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 2 == 0, "the answer is").otherwise("no such word"), F.lit("x")).alias("ground_truth"),
+        F.array(F.lit("flan"), F.lit("parity"), F.lit("none")).alias("dataset"),
+    )
+    flan = rewards.weighted_rewards(rows.withColumn("ground_truth", F.slice("ground_truth", 1, 1)).withColumn("dataset", F.slice("dataset", 1, 1)), "o_orderkey", weights={"flan": 2.0}, only=["flan"])
+    parity = F.when(F.element_at(rows["ground_truth"], 2) == "the answer is", 0.5).otherwise(0.0)
+    return rows.join(flan, "o_orderkey").select("o_orderkey", (F.col("reward") + parity).alias("reward"))
+
+
+@query("""with g as (select l_orderkey, count(*) as n, count(*) filter (l_returnflag <> 'R') as p from lineitem group by 1) select l_orderkey, p::int as passed from g where p >= 0.8 * n""")
+def accepted_tests(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_returnflag") != "R").cast("int").alias("ok"))))
+    tests = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(rows.alias("r")).select("l_orderkey", F.transform("r", lambda x: x["l_linenumber"]).alias("tests"), F.transform("r", lambda x: x["ok"]).alias("results"))
+    return rewards.accepted_tests(tests, "tests", "results").select("l_orderkey", F.size("tests").alias("passed"))
+
+
+@query("""with g as (select user_id, min(event_type) <> max(event_type) as v from events group by 1) select event_id from events join g using (user_id) where v""")
+def varied_prompts(spark, sf):
+    return preferences.varied(table(spark, sf, "events"), "user_id", "event_type").select("event_id")
+
+
+@query("""select l_orderkey, max(l_quantity) filter (l_linestatus = 'O') as open_quantity, max(l_quantity) filter (l_linestatus = 'F') as filled_quantity from lineitem group by l_orderkey""")
+def rating_table(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.max("l_quantity").alias("v"))
+    return preferences.rating_table(rows, "l_orderkey", "l_linestatus", "v", ["O", "F"]).select("l_orderkey", F.col("O").alias("open_quantity"), F.col("F").alias("filled_quantity"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then 0.8 when 1 then 0.85 when 2 then 1.0 else 0.0 end as score, case when event_id % 2 = 0 then 1.0 else 0.0 end as decision from events""")
+def judge_scores(spark, sf):
+    reply = F.when(F.col("event_id") % 4 == 0, "I give 4/5").when(F.col("event_id") % 4 == 1, "about 85%").when(F.col("event_id") % 4 == 2, "Yes").otherwise("unclear")
+    verdict = F.when(F.col("event_id") % 2 == 0, "Final Decision: Yes").otherwise("Final Decision: No")
+    return table(spark, sf, "events").select("event_id", text.parse_score(reply).alias("score"), text.parse_decision(verdict).alias("decision"))
+
+
+@query("""select o_orderkey, '\\frac{' || (o_orderkey % 9 + 1) || '}{' || (o_custkey % 7 + 2) || '}' as form from orders""")
+def answer_forms(spark, sf):
+    top, bottom = (F.col("o_orderkey") % 9 + 1).cast("string"), (F.col("o_custkey") % 7 + 2).cast("string")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x = "), top, F.lit("/"), bottom)).otherwise(F.concat(F.lit("\\dfrac"), top, bottom, F.lit("\\!")))
+    return table(spark, sf, "orders").select("o_orderkey", maths.strip_answer(raw).alias("form"))
+
+
+@query("""select o_orderkey, '{' || o_custkey || '}^2' as boxed from orders""")
+def boxed_answers(spark, sf):
+    t = F.concat(F.lit("first \\boxed{1}, so \\boxed{{"), F.col("o_custkey").cast("string"), F.lit("}^2} holds"))
+    return table(spark, sf, "orders").select("o_orderkey", text.last_boxed(t).alias("boxed"))
+
+
+# more sequences and statistics
+
+
+@query("""with t as (select conv_id, list(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) order by turn) as n from conversations group by conv_id) select conv_id, list_sum(n)::int as total, len(n)::int + 1 as n_cuts from t""")
+def flattened_batches(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(text.words("text"), lambda w: F.length(w)).alias("ids"))
+    out = packing.flatten_batch(rows, "conv_id", "turn", "ids")
+    return out.select("conv_id", F.element_at("cu_seq_lens", -1).alias("total"), F.size("cu_seq_lens").alias("n_cuts"))
+
+
+@query("""select conv_id, least(count(*), 3)::int as n_tokens, greatest(count(*) - 4, 0)::int as excess from conversations group by conv_id""")
+def clipped_outputs(spark, sf):
+    ids = F.transform("messages", lambda m: F.length(m["content"]))
+    out = chats(spark, sf).select("conv_id", packing.clip_tool_output(ids, 4, 3).alias("c"))
+    return out.select("conv_id", F.size("c.tokens").alias("n_tokens"), F.col("c.excess").alias("excess"))
+
+
+@query("""with n as (select source, count(*) as initial, count(*) filter (lang = 'en') as final from documents group by source) select source as dataset_source, initial, final, initial - final as filtered, round(final / initial, 6) as factor from n""")
+def transform_report(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("source").alias("dataset_source"), "lang")
+    return statistics.transform_statistics(docs, docs.where("lang = 'en'")).withColumn("factor", rounded("factor"))
+
+
+@query("""with t as (select max(value) as m, least(50, floor(max(value) / 10)::int) as b from events) select least(floor(value / (m / b)), b - 1)::bigint as bin, count(*) as n from events, t group by 1""")
+def equal_bins(spark, sf):
+    return statistics.equal_bins(table(spark, sf, "events"), "value").select(F.col("bin").cast("long").alias("bin"), "n")
+
+
+@query(NGRAM_SQL + ", b as (select item_id, max(score) as s from s group by 1) select count(*) as queries, round(avg(coalesce(b.s, 0)), 6) as mean_score from benchmark left join b using (item_id)")
+def contamination_mean(spark, sf):
+    tests = table(spark, sf, "benchmark")
+    scores = contamination.ngram_scores(contamination.index_texts(table(spark, sf, "documents"), "doc_id"), tests, "item_id", ["text"])
+    return contamination.mean_score(tests, scores, "item_id").withColumn("mean_score", rounded("mean_score"))
+
+
 # the flagship: a decontaminated, quality-filtered mix with statistics of each source
 
 
