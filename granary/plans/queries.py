@@ -21,11 +21,30 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Columns that DuckDB would give as HUGEINT or DECIMAL.
+TYPES = {
+    "keyword_filter": {"removed": "bigint", "kept": "bigint"},
+    "empty_filter": {"empty_rows": "bigint"},
+    "identity_filter": {"claims": "bigint"},
+    "label_join": {"chars": "bigint"},
+    "removal_report": {"kept": "bigint", "removed": "bigint"},
+    "over_limits": {"n": "bigint"},
+    "length_duel": {"wins": "bigint", "losses": "bigint", "ties": "bigint"},
+    "check_counts": {"wrong": "bigint", '"right"': "bigint"},
+    "format_rewards": {"format_reward": "double"},
+    "score_summary": {"perfect": "bigint", "zero": "bigint"},
+    "weighted_rewards": {"reward": "double"},
+    "judge_scores": {"score": "double", "decision": "double"},
+}
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        name = f.__name__
+        QUERIES[name] = f
         if sql:
-            SQL[f.__name__] = sql
+            casts = ", ".join(f"{c}::{t} as {c}" for c, t in TYPES.get(name, {}).items())
+            SQL[name] = f"select * replace ({casts}) from ({sql})" if casts else sql
         return f
 
     return add
