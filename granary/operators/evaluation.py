@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import col, let
+from ..sources.sinks import running_sum
 
 Equal = Callable[[Column, Column], Column]
 
@@ -179,8 +180,8 @@ def filter_traces(traces: DataFrame, step: int | None = None, at_least: float |
         out = out.where(F.exists("scores", lambda s: s <= at_most))
     if most_samples is None:
         return out
-    before = F.coalesce(F.sum(F.size("scores")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = out.withColumn("_b", before).where(F.col("_b") < most_samples)
+    sums = running_sum(out.withColumn("_n", F.size("scores")), "_n", [F.col(o) for o in order], "_upto")
+    cut = sums.withColumn("_b", F.col("_upto") - F.col("_n")).where(F.col("_b") < most_samples)
     lists = [f.name for f in traces.schema if f.dataType.typeName() == "array"]
     return cut.select(*[F.slice(c, 1, (most_samples - F.col("_b")).cast("int")).alias(c) if c in lists else c for c in traces.columns])
 

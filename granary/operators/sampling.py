@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.sinks import ranked
+from ..sources.sinks import ranked, running_sum
 
 
 @dataclass(frozen=True)
@@ -46,14 +46,22 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(key, seed), key)
 
 
+#: Rows that one task may hold to find the first ones; more are found by distributed ranks.
+FEW = 10_000
+
+
+def _first(df: DataFrame, n: int, order: list) -> DataFrame:
+    return df.orderBy(*order).limit(n) if n <= FEW else ranked(df, order).where(F.col("rank") <= n).drop("rank")
+
+
 def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
     """The first n rows by key."""
-    return df.orderBy(key).limit(n)
+    return _first(df, n, [F.col(key)])
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of the key."""
-    return df.orderBy(draw(key, seed), key).limit(n)
+    return _first(df, n, [draw(key, seed), F.col(key)])
 
 
 def upsample(df: DataFrame, n: int, key: str, seed: int = 42, size: int | None = None) -> DataFrame:
@@ -171,5 +179,5 @@ def in_all(frames: list[DataFrame], key: str) -> DataFrame:
 
 def running_cap(df: DataFrame, size: str, most: int, order: list[str]) -> DataFrame:
     """Rows in order until their sizes reach ``most``; ``taken`` is a row's part, the last one's cut."""
-    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_b", before).where(F.col("_b") < most).withColumn("taken", F.least(F.col(size), most - F.col("_b"))).drop("_b")
+    sums = running_sum(df, size, [F.col(o) for o in order], "_upto").withColumn("_b", F.col("_upto") - F.col(size))
+    return sums.where(F.col("_b") < most).withColumn("taken", F.least(F.col(size), most - F.col("_b"))).drop("_b", "_upto")
