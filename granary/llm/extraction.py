@@ -32,11 +32,13 @@ SECTION = frozenset("article main section div body blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of classes and ids of menus, adverts, notices, sidebars and comments.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|nav\w*|menu|sidebar|side-?bar|footer|foot|masthead|site-?header|page-?header|topbar|"
+    r"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bwithout)(?<!\bis)[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|nav\w*|menu|sidebar|side-?bar|footer|foot|masthead|site-?header|page-?header|topbar|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-?in|login|paywall|share|sharing|social|related|recommended|"
     r"recommendations|comments?|comment-?list|comment-?section|disqus|replies|reply|respond|reactions|widget|pagination|pager|skip-?link|toolbar|copyright|disclaimer|tags|trending|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Articles that are comments or adverts themselves.
+NOT_MAIN = re.compile(r"(?:^|\s)(?:comment|reply|sponsored|advert|ad)(?:\s|$|-(?!open|closed|status))", re.I)
 #: Sections nested deeper belong to the one at this depth.
 DEEPEST = 200
 #: An open p ends where one of these starts.
@@ -44,10 +46,10 @@ ENDS_P = BLOCK - frozenset(["html", "body", "title", "option", "optgroup", "capt
 
 
 class Line:
-    __slots__ = ("path", "skip", "tags", "text")
+    __slots__ = ("named", "path", "skip", "tags", "text")
 
-    def __init__(self, text: str, tags: int, path: tuple, skip: bool):
-        self.text, self.tags, self.path, self.skip = text, tags, path, skip
+    def __init__(self, text: str, tags: int, path: tuple, skip: bool, named: tuple):
+        self.text, self.tags, self.path, self.skip, self.named = text, tags, path, skip, named
 
 
 class Lines(HTMLParser):
@@ -56,8 +58,10 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, silent, a section
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # name, boilerplate, silent, a section, named as boilerplate
         self.path: tuple = ()
+        self.named: tuple = ()
+        self.around: set[int] = set()  # named elements that hold an article or the main part: layout, not boilerplate
         self.skip = self.silent = self.main = self.tags = self.serial = 0
         self.parts: list[str] = []
 
@@ -66,7 +70,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append(Line(text, self.tags, self.path, self.skip > 0))
+                self.lines.append(Line(text, self.tags, self.path, self.skip > 0, self.named))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -90,15 +94,20 @@ class Lines(HTMLParser):
                 if value and (key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES) or key == "hidden" or key == "aria-hidden" and value == "true":
                     named = True
         elif tag == "article":
-            named = any(key in ("class", "id") and value and re.search(r"comment|reply|sponsor|advert|related", value, re.I) for key, value in attrs)
-        boiler = named or tag in BOILERPLATE or tag == "header" and not inside
+            named = any(key in ("class", "id") and value and NOT_MAIN.search(value) for key, value in attrs)
+        if tag in ("article", "main") and not named:
+            self.around.update(self.named)
+        boiler = tag in BOILERPLATE or tag == "header" and not inside
         silent, section = tag in SILENT, tag in SECTION and len(self.path) < DEEPEST
-        self.open.append((tag, boiler, silent, section))
+        named = named and len(self.named) < DEEPEST
+        self.open.append((tag, boiler, silent, section, named))
         self.skip += boiler
         self.silent += silent
         self.main += tag in ("article", "main")
+        self.serial += 1
+        if named:
+            self.named = (*self.named, self.serial)
         if section:
-            self.serial += 1
             self.path = (*self.path, (tag, self.serial))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -115,7 +124,9 @@ class Lines(HTMLParser):
                 return
         else:
             return
-        for name, boiler, silent, section in self.open[i:]:
+        for name, boiler, silent, section, named in self.open[i:]:
+            if named:
+                self.named = self.named[:-1]
             self.main -= name in ("article", "main")
             self.skip -= boiler
             self.silent -= silent
@@ -141,6 +152,12 @@ class Lines(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def settled(self) -> list[Line]:
+        """The lines, those in elements named as boilerplate marked too."""
+        for x in self.lines:
+            x.skip = x.skip or any(n not in self.around for n in x.named)
+        return self.lines
+
     def close(self) -> None:
         if self.rawdata.startswith("<!--"):  # a comment that never ends
             self.rawdata = ""
@@ -200,7 +217,7 @@ def main_text(html: str) -> str:
     p = Lines()
     p.feed(html)
     p.close()
-    return "\n\n".join(select(p.lines))
+    return "\n\n".join(select(p.settled()))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -109,6 +109,8 @@ def page(body, title="T"):
         (page("<article><p><b>Never closed<br><p>Second <i>one</article><footer>&copy;</footer>"), "Never closed\n\nSecond one"),
         (page("<article><header><h1>Kept</h1></header><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>x  y</pre></article>"), "Kept\n\na\n\nb\n\nc\n\nd\n\nx y"),
         (page("<article><div class='ad'>Buy</div><p>Real &lt;text&gt; &#233;&nbsp;end</p><div role='complementary'>more</div></article>"), "Real <text> é end"),
+        (page("<div class='layout has-sidebar'><div class='share-tools page-banner'><article class='post comments-open'><p>Kept words.</p></article></div><div class='widget sidebar'>gone</div></div>"), "Kept words."),
+        (page("<article><p>The text.</p></article><article class='comment'><p>A comment that is longer than the text.</p></article>"), "The text."),
         ("plain text", "plain text"), ("", ""), (None, ""), ("<p>", ""), ("<div><!-- never closed", ""),
     ],
 )
