@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, keyed, mix64, slices, text_buffers, word_hashes, word_spans
 
-#: Parts of the hash space (the top bits of a hash choose one).
-PART_BITS = 8
+#: Bytes of text that a task packs at once. Blobs hold CHUNK / 6 / parts entries each: raise it with the parts.
 CHUNK = 1 << 22
 
 
@@ -49,18 +48,23 @@ def unshuffled(raw: bytes) -> np.ndarray:
     return np.cumsum(step.reshape(8, n).T.copy().view(np.int64).ravel())
 
 
-def pack(ids: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+def part_bits(df: DataFrame) -> int:
+    """Bits of a hash that choose its part: about four to eight parts for each shuffle partition, 128 at least."""
+    return min(20, max(7, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2))
+
+
+def pack(bits: int, ids: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
     """(part, documents, entries of each, places, hashes) for each part that has entries; documents in the given order."""
     owner = np.repeat(np.arange(len(ids)), counts)
-    part = (hashes >> np.uint64(64 - PART_BITS)).astype(np.int64)
+    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange((1 << PART_BITS) + 1))
-    tail = hashes << np.uint64(PART_BITS)
-    if more is None:  # 40 bits with the part's: a rare false hit only means more windows to compare
+    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    tail = hashes << np.uint64(bits)
+    if more is None:  # 32 bits beside the part's: a rare false hit only means more windows to compare
         tail = (tail >> np.uint64(32)).view(np.uint8).reshape(-1, 8)[:, :4]
-    else:  # 88 bits with the part's
-        tail = np.hstack([tail.view(np.uint8).reshape(-1, 8), more.view(np.uint8).reshape(-1, 8)[:, :3]])
-    for p in range(1 << PART_BITS):
+    else:  # 72 bits beside the part's
+        tail = np.hstack([tail.view(np.uint8).reshape(-1, 8), more.view(np.uint8).reshape(-1, 8)[:, :1]])
+    for p in range(1 << bits):
         at = order[cuts[p] : cuts[p + 1]]
         if len(at):
             own = owner[at]
@@ -108,7 +112,7 @@ def _places(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"kid": [r[0] for r in rows[i : i + 10_000]], "places": [r[1] for r in rows[i : i + 10_000]]}, schema=pa.schema([("kid", pa.int64()), ("places", pa.binary())]))
 
 
-def probes(docs: DataFrame, window: int, block: int) -> DataFrame:
+def probes(docs: DataFrame, window: int, block: int, bits: int) -> DataFrame:
     """Every rolling window of ``block`` words, packed; documents too short for a window have none to match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +125,7 @@ def probes(docs: DataFrame, window: int, block: int) -> DataFrame:
                 n = np.diff(cut)
                 n = np.where((n >= window) & (ids[i:j] != NO_ID), n - block + 1, 0)
                 at = np.concatenate([np.arange(s, s + k) for s, k in zip(cut[:-1], n)]) if n.sum() else np.zeros(0, np.int64)
-                rows = list(pack(ids[i:j], n, at - np.repeat(cut[:-1], n), code[at]))
+                rows = list(pack(bits, ids[i:j], n, at - np.repeat(cut[:-1], n), code[at]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
@@ -151,8 +155,8 @@ def hits(packed: DataFrame, block: int) -> DataFrame:
     return packed.repartition("part").mapInArrow(run, "kid long, places binary")
 
 
-def windows(docs: DataFrame, near: DataFrame, window: int, block: int) -> DataFrame:
-    """Every window of ``window`` words that holds a hit, packed with 88 bits of its hash; each once."""
+def windows(docs: DataFrame, near: DataFrame, window: int, block: int, bits: int) -> DataFrame:
+    """Every window of ``window`` words that holds a hit, packed with its hash; each once."""
     both = docs.join(near, "kid").select("kid", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,7 @@ def windows(docs: DataFrame, near: DataFrame, window: int, block: int) -> DataFr
                 n = np.array([len(s) for s in starts])
                 place = np.concatenate(starts) if len(starts) else np.zeros(0, np.int64)
                 at = place + np.repeat(cut[:-1], n)
-                rows = list(pack(ids[i:j], n, place + np.repeat(tags[i:j], n), code[at], more[at]))
+                rows = list(pack(bits, ids[i:j], n, place + np.repeat(tags[i:j], n), code[at], more[at]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
@@ -188,7 +192,7 @@ def repeated(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for docs, places, code in unpacked(batches, 11):
+        for docs, places, code in unpacked(batches, 9):
             order = np.lexsort((docs, code.b, code.a))
             a, b, own = code.a[order], code.b[order], docs[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -211,8 +215,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     # both joins read the same columns, so that the texts are exchanged once
     rows = keyed(docs, id_col, text_col).select("kid", "th", "text")
     gather = lambda df: df.groupBy("kid").agg(F.collect_list("places").alias("places"))
-    near = gather(hits(probes(rows, window, block), block))
-    over = gather(repeated(windows(rows, near, window, block)))
+    bits = part_bits(docs)
+    near = gather(hits(probes(rows, window, block, bits), block))
+    over = gather(repeated(windows(rows, near, window, block, bits)))
     both = rows.join(over, "kid", "left").select("kid", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
