@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import NO_ID, keyed, materialize, mix64, powers, slices, text_buffers
 
 GRAM = 128
-PARTS = 512
 #: Occurrences of a k-gram that one task merges at most.
 HOT = 50_000
 #: Distinct suffixes of a group up to which they are held against each other one by one.
@@ -372,14 +371,15 @@ def hot_ranges(packed: DataFrame) -> DataFrame:
     return packed.repartition("part").mapInArrow(run, RANGES_DDL)
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = GRAM, hot: int = HOT, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = GRAM, hot: int = HOT, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 for each row of ``docs``.
 
     A byte of a row's UTF-8 text goes if a string of ``window`` bytes that covers it starts anywhere else too, in this
     row or another; strings are judged on the input. n_spans: maximal removed runs. Null text counts as empty, null ids
     are rows like others, repeated rows repeat each other; an empty table gives an empty result. Other columns are
-    ignored.
+    ignored. ``parts`` of the k-grams' hashes are merged one by one, eight for each shuffle partition by default.
     """
+    parts = parts or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, id_col, text_col).select("kid", "th", "text")
     every = find_anchors(rows, window, gram)
     # written out, so that the join reads two plain exchanges and a hot k-gram's rows can be split
