@@ -83,11 +83,12 @@ def ngram_scores(index: DataFrame, queries: DataFrame, key: str, fields: list[st
     return scores.groupBy(key, "original_id").agg(F.sum("s").alias("score"))
 
 
-def vector_scores(index: DataFrame, queries: DataFrame, key: str, k: int = 5, original: str = "original_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+def vector_scores(index: DataFrame, queries: DataFrame, key: str, k: int = 5, original: str = "original_id", vector: str = "embedding", block: int = 4096, others_only: bool = False) -> DataFrame:
     """(key, original_id, score, rank): the k nearest rows to each query by the inner product of unit vectors.
 
     Exact: the queries are a stated set and go to all rows in blocks of bounded size; tasks keep k candidates of each
-    query before anything is shuffled (the group limit below the window).
+    query before anything is shuffled (the group limit below the window). ``others_only``: a query does not find the
+    row of its own id.
     """
     n = queries.count()
     out = None
@@ -96,6 +97,7 @@ def vector_scores(index: DataFrame, queries: DataFrame, key: str, k: int = 5, or
     for b in range(max(1, -(-n // block))):
         part = F.broadcast(q.where(F.col("_b") == b).select(F.col(key), unit(F.col(vector)).alias("qv")))  # at most about `block` vectors
         pairs = index.select(F.col(original).alias("original_id"), unit(F.col(vector)).alias("dv")).join(part, F.lit(True)).select(key, "original_id", dot("qv", "dv").alias("score"))
+        pairs = pairs.where(F.col("original_id") != F.col(key)) if others_only else pairs
         out = pairs if out is None else out.union(pairs)
     order = Window.partitionBy(key).orderBy(F.desc("score"), "original_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -224,11 +224,11 @@ def longest_100(spark, sf):
     return statistics.longest(table(spark, sf, "documents"), "doc_id", "n_chars")
 
 
-@query("""with c as (select lang, least(n_chars // 2000, 64) as bin, count(*) as n from documents where n_chars <= 130000 group by 1, 2),
+@query("""with c as (select lang, n_chars // 20000 as bin, count(*) as n from documents group by 1, 2),
 t as (select lang, bin, n, sum(n) over (partition by lang) as t from c), m as (select case when t >= 120 then lang else 'Other' end as category, bin, sum(n) as n from t group by 1, 2)
 select category, bin::int as bin, n::bigint as n, (sum(n) over (partition by category))::bigint as category_total from m""")
 def length_histogram(spark, sf):
-    return statistics.histogram(table(spark, sf, "documents").where("n_chars <= 130000"), "n_chars", [2000.0 * i for i in range(66)], F.col("lang"), 120)
+    return statistics.histogram(table(spark, sf, "documents"), "n_chars", [20000.0 * i for i in range(200)], F.col("lang"), 120)
 
 
 @query("""select source, count(*) as rows, sum(n_chars)::bigint as chars, round(count(*) / sum(count(*)) over (), 6) as rows_share, round(sum(n_chars) / sum(sum(n_chars)) over (), 6) as chars_share from documents group by source""")
@@ -364,13 +364,13 @@ def contamination_report(spark, sf):
     return contamination.decontaminate(docs, "doc_id", contamination.contaminated(scores, 0.5))[1].withColumn("kept_share", rounded("kept_share"))
 
 
-@query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings), s as (select q.vec_id as query_id, d.vec_id as original_id, list_inner_product(q.e, d.e) / (q.n * d.n) as s from v q, v d where q.vec_id % 50 = 0 and d.vec_id % 50 <> 0)
+@query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings), s as (select q.vec_id as query_id, d.vec_id as original_id, list_inner_product(q.e, d.e) / (q.n * d.n) as s from v q, v d where q.vec_id % 20 = 0 and d.vec_id <> q.vec_id)
 select query_id, original_id, round(s, 6) as score, rank::int as rank from (select *, row_number() over (partition by query_id order by s desc, original_id) as rank from s) where rank <= 5""")
 def vector_top5(spark, sf):
     v = table(spark, sf, "embeddings")
-    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    index = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("original_id"), "embedding")
-    return contamination.vector_scores(index, queries, "query_id").withColumn("score", rounded("score"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = v.select(F.col("vec_id").alias("original_id"), "embedding")
+    return contamination.vector_scores(index, queries, "query_id", others_only=True).withColumn("score", rounded("score"))
 
 
 # preferences
