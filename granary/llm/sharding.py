@@ -5,7 +5,7 @@ first virtual node clockwise of it. A row's cell comes from its hash. Every shar
 differ by one row at most. A shard takes the rows of its own arcs in ring order up to its bound; what overflows
 continues clockwise to the next virtual node whose shard has room, so only overflowing rows move.
 
-Only counts per cell reach the driver (``cells`` is bounded by a parameter, whatever the number of rows); the walk
+Only counts per cell reach the driver (65 536 cells at most, whatever the number of rows); the walk
 yields rank ranges of cells, and the rows find theirs by their rank in the cell. No shard's rows meet in one task.
 """
 
@@ -68,7 +68,7 @@ def plan(counts: dict[int, int], shards: int, vnodes: int, cells: int) -> list[t
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 64, rows_per_cell: int = 256, most_cells: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = 64, rows_per_cell: int = 256, most_cells: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, size (UTF-8 bytes plus 8), text_crc32, shard, slot (gapless from 0 within the shard).
 
     Law ``rows``: the counts of two shards differ by one at most. Null text: size 8, checksum 0. Null ids hash as null
