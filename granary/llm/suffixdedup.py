@@ -82,16 +82,27 @@ def anchors(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
 
 
 def row_anchors(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """(first row, anchors) of slices of rows; very long rows are cut into overlapping pieces whose windows are disjoint."""
+    """(first row, anchors) of slices of rows; very long rows are cut into overlapping pieces whose windows are disjoint.
+
+    An anchor that windows on both sides of a cut share comes once, with all its windows.
+    """
     for i, j in slices(ends, CHUNK):
         size = int(ends[j] - ends[i])
         if j > i + 1 or size <= 2 * CHUNK:
             yield i, anchors(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], window, k)
             continue
+        held = None
         for s in range(0, size - window + 1, CHUNK):
             t = min(size, s + CHUNK + window - 1)
             row, code, at, lo, hi = anchors(data[ends[i] + s : ends[i] + t], np.array([0, t - s]), window, k)
-            yield i, (row, code, at + s, lo + s, hi + s)
+            at, lo, hi = at + s, lo + s, hi + s
+            if held is not None:
+                if held[2][-1] == at[0]:
+                    lo[0] = held[3][-1]
+                    held = tuple(x[:-1] for x in held)
+                yield i, held
+            held = row, code, at, lo, hi
+        yield i, held
 
 
 def common(a: bytes, b: bytes, known: int) -> int:

@@ -63,6 +63,36 @@ def test_suffix_dedup_against_brute_force(spark, window, gram, hot):
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got], key=key) == sorted([(r[0], *w) for r, w in zip(rows, repeated_bytes(rows, window))], key=key)
 
 
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    """Every anchor of a long text comes once, with the windows on both sides of a cut."""
+    import random
+
+    rng = random.Random(11)
+    raw = [words(rng, 900).encode(), b"x" * 2500, words(rng, 3).encode(), b"ab " * 900]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    def found(chunk):
+        monkeypatch.setattr(suffixdedup, "CHUNK", chunk)
+        return [(int(i + r), *map(int, x)) for i, (row, *rest) in suffixdedup.row_anchors(data, ends, 400, 128) for r, x in zip(row, zip(*rest))]
+
+    whole = found(1 << 21)
+    assert found(700) == whole and found(300) == whole
+
+
+def test_repeats_beside_the_cuts_of_a_long_text(spark):
+    """Passages whose windows start just after the first cut and just before the second."""
+    import random
+
+    rng = random.Random(12)
+    cut, one, two = suffixdedup.CHUNK, words(rng, 200)[:400], words(rng, 200)[:400]
+    fill = rng.randbytes(cut + 1000).hex()
+    long = fill[:cut] + one + fill[cut : 2 * cut - 401] + two + fill[2 * cut - 401 :]
+    assert long.index(one) == cut and long.index(two) == 2 * cut - 1 and len(long) > 2 * cut
+    rows = [(1, long), (2, "<" + one + ">"), (3, "<" + two + ">")]
+    got = suffixdedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (800, 2), 2: (400, 1), 3: (400, 1)}
+
+
 def test_suffix_groups_of_many(monkeypatch):
     """The sweep over classes of a large group equals pairwise comparison."""
     import random
