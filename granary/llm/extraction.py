@@ -46,10 +46,11 @@ ENDS_P = BLOCK - frozenset(["html", "body", "title", "option", "optgroup", "capt
 
 
 class Line:
-    __slots__ = ("named", "path", "skip", "tags", "text")
+    __slots__ = ("named", "path", "prose", "skip", "tags", "text")
 
-    def __init__(self, text: str, tags: int, path: tuple, skip: bool, named: tuple):
+    def __init__(self, text: str, tags: int, path: tuple, skip: bool, named: tuple, linked: int):
         self.text, self.tags, self.path, self.skip, self.named = text, tags, path, skip, named
+        self.prose = max(0, len(text) - linked)
 
 
 class Lines(HTMLParser):
@@ -58,11 +59,14 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # name, boilerplate, silent, a section, named as boilerplate
+        self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, boilerplate too deep to be judged, silent, a section, boilerplate, a link
         self.path: tuple = ()
-        self.named: tuple = ()
-        self.around: set[int] = set()  # named elements that hold an article or the main part: layout, not boilerplate
-        self.skip = self.silent = self.main = self.tags = self.serial = 0
+        self.named: tuple = ()  # the open elements that are boilerplate by element, role or name
+        self.boxes: dict[int, tuple[str, bool, bool]] = {}  # of these: name, by element, inside an article or the main part
+        self.around: set[int] = set()  # those that hold an article or the main part: layout, not boilerplate
+        self.articles: set[int] = set()  # other elements that hold an article
+        self.wrapping: set[int] = set()  # those that hold a first heading or other boilerplate
+        self.skip = self.silent = self.main = self.tags = self.serial = self.links = self.linked = 0
         self.parts: list[str] = []
 
     def cut(self) -> None:
@@ -70,8 +74,9 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append(Line(text, self.tags, self.path, self.skip > 0, self.named))
+                self.lines.append(Line(text, self.tags, self.path, self.skip > 0, self.named, self.linked))
                 self.tags = 0
+            self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -96,17 +101,26 @@ class Lines(HTMLParser):
         elif tag == "article":
             named = any(key in ("class", "id") and value and NOT_MAIN.search(value) for key, value in attrs)
         if tag in ("article", "main") and not named:
-            self.around.update(self.named)
+            for n in self.named:
+                name, by_element, _ = self.boxes[n]
+                (self.around if not by_element or name == "form" or tag == "main" else self.articles).add(n)
         boiler = tag in BOILERPLATE or tag == "header" and not inside
+        by_element, named = boiler and not named, named or boiler
+        if tag == "h1" or named:
+            self.wrapping.update(self.named)
         silent, section = tag in SILENT, tag in SECTION and len(self.path) < DEEPEST
         named = named and len(self.named) < DEEPEST
-        self.open.append((tag, boiler, silent, section, named))
+        boiler = boiler and not named
+        link = tag == "a" and any(key == "href" for key, _ in attrs)
+        self.open.append((tag, boiler, silent, section, named, link))
+        self.links += link
         self.skip += boiler
         self.silent += silent
         self.main += tag in ("article", "main")
         self.serial += 1
         if named:
             self.named = (*self.named, self.serial)
+            self.boxes[self.serial] = (tag, by_element, inside)
         if section:
             self.path = (*self.path, (tag, self.serial))
 
@@ -124,7 +138,8 @@ class Lines(HTMLParser):
                 return
         else:
             return
-        for name, boiler, silent, section, named in self.open[i:]:
+        for name, boiler, silent, section, named, link in self.open[i:]:
+            self.links -= link
             if named:
                 self.named = self.named[:-1]
             self.main -= name in ("article", "main")
@@ -146,6 +161,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A marked section that SGML does not know is a comment up to its next ``>``, as in browsers."""
@@ -153,7 +170,24 @@ class Lines(HTMLParser):
         return end + 1 if end >= 0 else -1
 
     def settled(self) -> list[Line]:
-        """The lines, those in elements named as boilerplate marked too."""
+        """The lines, those in boilerplate marked.
+
+        Boilerplate with an article or the main part in it is layout; an element such as an aside is so for an article
+        only if most of the page's prose (text outside links) is in it. Where no other article or main part has prose,
+        what holds most of it is layout too if it is a form or wraps a first heading or other boilerplate.
+        """
+        total, within = 0, dict.fromkeys(self.boxes, 0)
+        for x in self.lines:
+            total += x.prose
+            for n in x.named:
+                within[n] += x.prose
+        for n in sorted(n for n, most in within.items() if 2 * most > total and n not in self.around):
+            name, _, inside = self.boxes[n]
+            wraps = n in self.articles or name not in ("footer", "header") and (name == "form" or n in self.wrapping)
+            if wraps:
+                left = [x for x in self.lines if x.prose and not x.skip and n not in x.named and all(m in self.around for m in x.named)]
+                if not left or not inside and not any(p[0] in ("article", "main") for x in left for p in x.path):
+                    self.around.add(n)
         for x in self.lines:
             x.skip = x.skip or any(n not in self.around for n in x.named)
         return self.lines

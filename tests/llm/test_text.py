@@ -120,6 +120,22 @@ def test_main_text(spark, html, want):
     assert (r["page_id"], r["url"], r["text"], r["n_chars"]) == (1, "u", want, len(want))
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (page("<form id='aspnetForm'><nav><a href='/'>menu</a></nav><article><h1>Head</h1><p>The text of the page.</p></article><footer>f</footer></form>"), "Head\n\nThe text of the page."),
+        (page("<form><div><h1>Head</h1><p>The text of the page, without an article.</p><p>More of it.</p></div></form><footer>f</footer>"), "Head\n\nThe text of the page, without an article.\n\nMore of it."),
+        (page("<aside><main><p>The main part.</p></main></aside>"), "The main part."),
+        (page("<div class='page-header-fixed'><nav><a href='/'>menu</a></nav><div><h1>Head</h1><p>The text in a wrapper with a name.</p></div></div>"), "Head\n\nThe text in a wrapper with a name."),
+        (page("<main><p>The main text of this page.</p></main><aside><article><p>A teaser that is much longer than the main text of this page.</p></article></aside>"), "The main text of this page."),
+        (page("<div><h1>Head</h1><p>The post.</p></div><div class='comments'><p>A reader writes a lot of words here, more than the text has.</p></div>"), "Head\n\nThe post."),
+        (page("<nav><a href='/'>menu</a><a href='/b'>more of the menu</a></nav>"), ""),
+    ],
+)
+def test_boilerplate_that_wraps_the_page_is_layout(html, want):
+    assert extraction.main_text(html) == want
+
+
 def test_whole_articles_of_the_test_pages(spark):
     import html
     import re
