@@ -4,7 +4,8 @@ The standard library's parser streams its events over the whole page; block-leve
 each line knows its text, the tags met since the line before, the sections it lies in, and whether one of these is
 boilerplate by its element, role or class. The ratio of text to tags per line is smoothed by a Gaussian over the page
 and clustered into two by its distance from the mean; lines of the upper cluster are content. The region is what holds
-them: the articles (else the main part) with content lines, else the smallest section with most of the content's text.
+them: the articles (else the main part) with content lines, else the smallest section with all content
+lines, and what stands directly in the sections around it, links apart.
 All lines of the region go out, short ones too, but for boilerplate inside it.
 """
 
@@ -234,16 +235,19 @@ def select(lines: list[Line]) -> list[str]:
         region = {p[1] for i in content for p in lines[i].path if p[0] == name} or {p[1] for i in kept for p in lines[i].path if p[0] == name}
         if region:
             return [lines[i].text for i in kept if any(p[1] in region for p in lines[i].path)]
-    mass: dict = {}
+    shared = lines[content[0]].path
     for i in content:
-        for depth, p in enumerate(lines[i].path):
-            mass[(depth, p[1])] = mass.get((depth, p[1]), 0) + len(lines[i].text)
-    total = sum(len(lines[i].text) for i in content)
-    most = [(depth, serial) for (depth, serial), n in mass.items() if n >= 0.75 * total]
-    if not most:
+        same = 0
+        for p, q in zip(shared, lines[i].path):
+            if p != q:
+                break
+            same += 1
+        shared = shared[:same]
+    if not shared:
         return [lines[i].text for i in kept]
-    serial = max(most)[1]
-    return [lines[i].text for i in kept if any(p[1] == serial for p in lines[i].path)]
+    # titles, leads and closings stand beside the region, directly in a section around it
+    beside = {shared[:n] for n in range(len(shared))}
+    return [lines[i].text for i in kept if shared[-1] in lines[i].path or lines[i].prose and lines[i].path in beside]
 
 
 def main_text(html: str) -> str:

@@ -136,6 +136,15 @@ def test_boilerplate_that_wraps_the_page_is_layout(html, want):
     assert extraction.main_text(html) == want
 
 
+def test_content_outside_the_largest_section_stays():
+    """Without an article or main part, the region holds every content line."""
+    lead, body, closing = (" ".join(["some words of the text"] * n) for n in (4, 8, 4))
+    inner = f"<p>{body}</p>" * 6
+    want = "\n\n".join(["Title", lead, *[body] * 6, closing])
+    assert extraction.main_text(page(f"<h1>Title</h1><p>{lead}</p><div>{inner}</div><p>{closing}</p>")) == want
+    assert extraction.main_text(page(f"<div><h1>Title</h1><p>{lead}</p><blockquote>{inner}</blockquote><p>{closing}</p></div><div><a href='/'>link</a></div>")) == want
+
+
 def test_whole_articles_of_the_test_pages(spark):
     import html
     import re
