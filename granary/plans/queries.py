@@ -957,7 +957,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
     scores = contamination.ngram_scores(contamination.index_texts(docs, "doc_id"), table(spark, sf, "benchmark"), "item_id", ["text"])
     clean, _ = contamination.decontaminate(docs, "doc_id", contamination.contaminated(scores, 0.5))
-    kept = sampling.per_group(clean.join(toxic, "doc_id", "left_anti"), "source", 1000, "doc_id")
+    kept = clean.join(toxic, "doc_id", "left_anti")
     return kept.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("lang").alias("languages"))
 
 

@@ -47,3 +47,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_flagship_counts_every_document(spark, tmp_path):
+    docs = [(i, f"d{i} a short text", "en", "hot", 10) for i in range(1100)] + [(2000, "d2000 b text", "de", "hot", 10), (2001, "d2001 text", "en", "cold", 7), (2002, "d2002 text", "en", "hot", 10)]
+    for name, df in {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(2002, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, "another passage that no document holds, of more than eight words")], "item_id long, text string"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["source"]: (r["documents"], r["chars"], r["languages"]) for r in queries.flagship(spark, str(tmp_path)).collect()}
+    assert got == {"hot": (1101, 11010, 2), "cold": (1, 7, 1)}
