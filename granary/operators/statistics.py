@@ -52,9 +52,11 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
     return F.when((value >= cuts[0]) & (value <= cuts[-1]), F.least(n, F.lit(len(cuts) - 1)) - 1)
 
 
-def histogram(df: DataFrame, value: str, cuts: list[float], category: Column | None = None, least: int = 0) -> DataFrame:
-    """(category, bin, n, category_total): categories with fewer than ``least`` rows are one, Other."""
-    cell = df.select((category if category is not None else F.lit("all")).alias("c"), bin_of(F.col(value).cast("double"), cuts).alias("bin"))
+def histogram(df: DataFrame, value: str, cuts: list[float] | float, category: Column | None = None, least: int = 0) -> DataFrame:
+    """(category, bin, n, category_total): categories with fewer than ``least`` rows are one, Other. One number as cuts: bins of that width from 0 without end."""
+    x = F.col(value).cast("double")
+    place = bin_of(x, cuts) if isinstance(cuts, list) else F.floor(x / cuts).cast("int")
+    cell = df.select((category if category is not None else F.lit("all")).alias("c"), place.alias("bin"))
     counts = cell.groupBy("c", "bin").agg(F.count("*").alias("n"))
     merged = counts.withColumn("t", F.sum("n").over(Window.partitionBy("c"))).withColumn("category", F.when(F.col("t") >= least, F.col("c")).otherwise("Other"))
     out = merged.groupBy("category", "bin").agg(F.sum("n").alias("n"))

@@ -59,3 +59,10 @@ def test_flagship_counts_every_document(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r["source"]: (r["documents"], r["chars"], r["languages"]) for r in queries.flagship(spark, str(tmp_path)).collect()}
     assert got == {"hot": (1101, 11010, 2), "cold": (1, 7, 1)}
+
+
+def test_length_histogram_has_no_end(spark, tmp_path):
+    lengths = [0, 19_999, 20_000, 3_980_000, 3_980_001, 9_000_000]
+    spark.createDataFrame([(i, "en", n) for i, n in enumerate(lengths)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["bin"]: r["n"] for r in queries.QUERIES["length_histogram"](spark, str(tmp_path)).collect()}
+    assert got == {0: 2, 1: 1, 199: 2, 450: 1}
