@@ -35,7 +35,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_id")
+    found = F.expr("n_email + n_ip + n_card + n_phone + n_key + n_id")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_key", "n_id", found.alias("n_found"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,21 @@ def test_contexts_discover_what_no_pattern_sees(spark):
     assert out[900]["spans"] == "id:8:24" and out[100]["n_id"] == 0
 
 
+def test_keys_are_seeds_and_two_words_make_a_pattern(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    rows = [(i, f'{words(rng, 6)} secret = "{k}" {words(rng, 3)}') for i, k in enumerate(keys)] + [(100, 'the secret = "AB12CD34EF56AB12CD34EF56AB12CD34EF56AB12" x'), (101, "a page of AB12CD34EF56AB12CD34EF56AB12CD34EF56AB12 x")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_key"] == 1 and got[i]["n_id"] == 0 and got[i]["base"] == "" for i in range(30))
+    assert got[100]["spans"] == "id:14:54" and got[101]["spans"] == ""
+
+
+def test_very_long_texts_cost_in_proportion(spark):
+    text = " ".join(f"a{i} b" for i in range(70_000)) + " 10.0.0.1 u@v.org"
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["base"] == f"email:{len(text) - 7}:{len(text)},ip:{len(text) - 16}:{len(text) - 8}"
+
+
 # sharding
 
 
