@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder the cluster shares (spark.checkpoint.dir). Only a local session, as in tests, may do without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "granary-checkpoints")
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+_scope: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, what: str) -> Iterator[None]:
+    """Scratch tables written inside go when it ends, so what is read from them must be written elsewhere by then."""
+    _scope.append(f"{what}-{uuid.uuid4().hex}")
+    path = f"{scratch_dir(spark)}/granary/{_scope[-1]}"
+    try:
+        yield
+    finally:
+        _scope.pop()
+        discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table or folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, what: str, outside: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back; ``outside`` of any scope."""
+    return _written(df, what, outside)[0]
+
+
+def _written(df: DataFrame, what: str, outside: bool = False) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/granary/{what}-{uuid.uuid4().hex}"
+    path = "/".join([scratch_dir(spark), "granary", *([] if outside else _scope[-1:]), f"{what}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 #: Stands for a null id in (kid, th) keys.
@@ -92,17 +122,21 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star (Kiveris et al. 2014): every round is two shuffles that keep each edge
     once; neighbours of a node are never gathered, only their minimum. Rounds grow with the logarithm of the diameter.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    spark = edges.sparkSession
+    edges, path = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = mark(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = materialize(small, "cc")
-        sums = [df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for df in (edges, after)]
-        edges = after
-        if tuple(sums[0]) == tuple(sums[1]):
+        before, old = now, path
+        edges, path = _written(small, "cc")
+        discard(spark, old)
+        now = mark(edges)
+        if now == before:
             break
     else:
         raise RuntimeError("components did not settle")
