@@ -14,6 +14,7 @@ block by block on full sets. Links that would join what is joined already are no
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, slices, text_buffers, word_hashes
+from .common import connected_components, keyed, materialize, mix64, slices, text_buffers, word_hashes
 
 BASE = 1.001
 BANDS, ROWS = 40, 5
@@ -72,8 +73,8 @@ def likelihood(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, digest (of the shingle set; null if empty), reg (registers, 16 bits each) of each row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """doc_id, th (hash of the text), n, digest (of the shingle set; null if empty), reg (registers, 16 bits each) of each row."""
+    source = keyed(docs, id_col, text_col).select("doc_id", "th", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiply, add = _constants(bands * rows)
@@ -87,21 +88,21 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text
                     counts.append(len(codes))
                     digests.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None)
                     regs.append(registers(codes, multiply, add).tobytes() if len(codes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "digest", "reg"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "th", "n", "digest", "reg"])
 
-    return source.mapInArrow(run, "doc_id long, n long, digest binary, reg binary")
+    return source.mapInArrow(run, "doc_id long, th long, n long, digest binary, reg binary")
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(rep, band, key) for each class and band."""
+    """(cid, band, key) for each class and band."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("reg"), i * (2 * rows) + 1, F.lit(2 * rows)), i))
-    return classes.select("rep", F.posexplode(keys).alias("band", "key"))
+    return classes.select("cid", F.posexplode(keys).alias("band", "key"))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, share: float, doubt: float = 30.0) -> DataFrame:
     """Those of the pairs (a, b) whose registers do not rule out a similarity of ``share``."""
-    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
+    a = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
+    b = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
     # sizes alone bound the similarity
     both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (share - 1e-9)).select("a", "b", "na", "nb", "ra", "rb")
 
@@ -122,24 +123,28 @@ def plausible(pairs: DataFrame, classes: DataFrame, share: float, doubt: float =
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, codes): the sorted shingle codes, 64 bits each, of the documents with the ids ``wanted`` (rep, digest)."""
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(wanted, "rep").select("rep", "digest", "text")
+    """(cid, n, codes): the sorted shingle codes, 64 bits each, of the classes ``wanted`` (cid, rep, th).
+
+    Repeated rows of a class's document give its set once for each task that meets them.
+    """
+    source = keyed(docs, id_col, text_col).select(F.col("doc_id").alias("rep"), "th", "text").join(wanted, ["rep", "th"]).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             data, ends = text_buffers(batch.column("text"))
-            ids, digests = batch.column("rep").to_pylist(), batch.column("digest").to_pylist()
+            ids = batch.column("cid").to_pylist()
             for i, j in slices(ends, CHUNK):
                 words, cut = word_hashes(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], True)
-                out = {"rep": [], "codes": []}
+                out = {"cid": [], "codes": []}
                 for k in range(j - i):
-                    codes = shingles(words[cut[k] : cut[k + 1]], width).tobytes()
-                    if hashlib.blake2b(codes, digest_size=16).digest() == digests[i + k]:  # rows that share an id: the class's own
-                        out["rep"].append(ids[i + k])
-                        out["codes"].append(codes)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("rep", pa.int64()), ("codes", pa.binary())]))
+                    if ids[i + k] not in seen:
+                        seen.add(ids[i + k])
+                        out["cid"].append(ids[i + k])
+                        out["codes"].append(shingles(words[cut[k] : cut[k + 1]], width).tobytes())
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cid", pa.int64()), ("codes", pa.binary())]))
 
-    return source.mapInArrow(run, "rep long, codes binary")
+    return source.mapInArrow(run, "cid long, codes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,8 +156,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = F.ceil(F.col("members") / GROUP).cast("long")
     split = many.select("a", parts.alias("parts"))
     right = pairs.join(split, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    right = right.join(sets, pairs["b"] == sets["rep"]).select("a", "part", "b", "codes")
-    left = split.join(sets, split["a"] == sets["rep"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "codes")
+    right = right.join(sets, pairs["b"] == sets["cid"]).select("a", "part", "b", "codes")
+    left = split.join(sets, split["a"] == sets["cid"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "codes")
 
     def run(table: pa.Table) -> pa.Table:
         out, centre = [], None
@@ -173,19 +178,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one group ``lo`` with different labels, enough to join all that links join.
 
-    Groups are cut into blocks of about BLOCK members, and each two blocks are compared as a product of incidence
-    matrices: a member's set travels once for each block of its group, and no pair is emitted but the links kept.
+    ``apart``: lo, cid, label, n. Sets whose sizes differ by more than the threshold allows are not alike, so a group is cut
+    into grades of size, and a grade meets itself and the next one. Grades are cut into blocks of about BLOCK members,
+    and two blocks are compared as a product of incidence matrices: a member's set travels once for each block of its
+    grade and the ones beside it, and no pair is emitted but the links kept.
     """
-    sizes = apart.groupBy("lo").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = apart.join(sizes, "lo").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets, "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "codes")
+    step = -math.log(percent / 100)
+    apart = apart.withColumn("grade", F.floor(F.log("n") / (step + 1e-9)).cast("long") if step > 0 else F.col("n"))
+    sizes = apart.groupBy("lo", "grade").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    above = sizes.select("lo", (F.col("grade") - 1).alias("grade"), F.col("blocks").alias("more"))
+    below = sizes.select("lo", (F.col("grade") + 1).alias("grade"), F.col("blocks").alias("fewer"))
+    sizes = sizes.join(above, ["lo", "grade"], "left").join(below, ["lo", "grade"], "left").fillna(0, ["more", "fewer"])
+    rows = apart.join(sizes, ["lo", "grade"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(sets, "cid")
+    # a block (grade, number); the smaller of two comes first
+    me = F.struct(F.col("grade").alias("g"), F.col("own").alias("b"))
+    every = lambda grade, parts: F.when(parts > 0, F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda b: F.struct(grade.alias("g"), b.alias("b")))).otherwise(F.array().cast("array<struct<g:bigint,b:bigint>>"))
+    others = F.concat(every(F.col("grade") - 1, F.col("fewer")), every(F.col("grade"), F.col("blocks")), every(F.col("grade") + 1, F.col("more")))
+    rows = rows.withColumn("me", me).withColumn("other", F.explode(others))
+    rows = rows.select("lo", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), (F.col("me") <= F.col("other")).alias("first"), (F.col("me") >= F.col("other")).alias("second"), F.col("cid").alias("rep"), "label", "codes")
 
     def run(table: pa.Table) -> pa.Table:
-        reps, labels, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
+        reps, labels, one, two = (table.column(c).to_numpy() for c in ("rep", "label", "first", "second"))
+        if (labels == labels[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets_ = [np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]
-        first, second = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        left, right = np.flatnonzero(one), np.flatnonzero(two)
         size = np.array([len(x) for x in sets_], np.int64)
         codes = np.concatenate(sets_)
         owner = np.repeat(np.arange(len(sets_)), size)
@@ -226,35 +243,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Sets of ``width``-word shingles (A-Z in lower case); links at 100 * intersection >= percent * union, confirmed on
     full sets; component_id is the smallest id that links reach. Null or wordless texts: no shingles, own component.
-    Rows with a null id are linked with nothing: component null, kept. Where rows share an id but not a text, one of
-    the texts stands for the id. Repeated rows and empty tables are allowed; other columns
+    Rows with a null id are linked with nothing: component null, kept. Rows that share an id are one node, with the links
+    of all their texts, and count their own shingles. Repeated rows and empty tables are allowed; other columns
     are ignored. With the default 40 bands of 5 registers, a pair meets in no bucket with a probability of 1e-7 at a
     similarity of 0.8 and of 7e-11 at 0.85.
     """
     rows_ = materialize(sketch(docs, width, bands, rows, id_col, text_col), "sketch")
     linked = rows_.where("n > 0 and doc_id is not null")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg"))
-    # only rows that share an id can leave one rep with two digests; the least stands for it
-    classes = materialize(classes.groupBy("rep").agg(F.min(F.struct("digest", "n", "reg")).alias("c")).select("rep", "c.*"), "classes")
+    classes = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("n").alias("n"), F.first("reg").alias("reg"))
+    # written with its number, which tells classes apart whose smallest document is the same
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("d.doc_id").alias("rep"), F.col("d.th").alias("th"), "digest", "n", "reg"), "classes")
     keys = band_keys(classes, bands, rows)
-    centres = keys.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = materialize(keys.join(centres, ["band", "key"]).select("band", "key", "rep", "centre"), "buckets")
-    stars = met.where("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("times"))
+    centres = keys.groupBy("band", "key").agg(F.min("cid").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = materialize(keys.join(centres, ["band", "key"]).select("band", "key", "cid", "centre"), "buckets")
+    stars = met.where("cid <> centre").groupBy(F.col("centre").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("times"))
     stars = materialize(plausible(stars, classes, percent / 100).join(stars, ["a", "b"]).distinct(), "stars")
     best = stars.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    same_id = linked.select("digest", F.col("doc_id").alias("b")).join(classes.select("digest", F.col("rep").alias("a")), "digest").where("a <> b").select("a", "b").distinct()
-    ids = met.select("rep").distinct()
-    sets = materialize(full_sets(docs, classes.join(ids, "rep").select("rep", "digest"), width, id_col, text_col), "sets")
+    same_set = linked.select("digest", F.col("doc_id").alias("b")).join(classes.select("digest", F.col("rep").alias("a")), "digest").where("a <> b").select("a", "b").distinct()
+    ids = met.select("cid").distinct()
+    sets = materialize(full_sets(docs, classes.join(ids, "cid").select("cid", "rep", "th"), width, id_col, text_col), "sets")
     done = materialize(confirm(best, sets, percent), "links")
     labels = _labels(done)
     rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
     links = materialize(confirm(rest, sets, percent).unionByName(done), "links")
     labels = _labels(links)
-    here = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).select("band", "key", "rep", "label")
+    here = met.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).select("band", "key", "cid", "label")
     mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("hi")
-    apart = materialize(here.join(mixed, ["band", "key"]).select("lo", "rep", "label").distinct(), "apart")
-    links = links.unionByName(across(apart, sets, percent)).unionByName(same_id)
-    final = connected_components(links)
+    apart = here.join(mixed, ["band", "key"]).select("lo", "cid", "label").distinct()
+    apart = materialize(apart.join(classes.select("cid", "n"), "cid"), "apart")
+    links = links.unionByName(across(apart, sets, percent))
+    names = classes.select("cid", "rep")
+    links = links.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    final = connected_components(links.unionByName(same_set))
     out = rows_.select("doc_id", "n").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))

@@ -36,6 +36,30 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows, 3, 85)
 
 
+def test_rows_that_share_an_id_keep_the_links_of_all_their_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    a, b = words(rng, 40), words(rng, 60)
+    rows = [(1, a), (1, b), (2, b), (3, b), (4, a), (4, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((r[0], 1) for r in rows)
+    many = [(rng.randrange(40), r[1]) for r in corpus(6) if r[0] is not None]
+    want = components([(i, t) for i, (_, t) in enumerate(many)], 3, 85)
+    parent = {i: i for i in range(40)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, _) in enumerate(many):
+        x, y = root(d), root(many[want[i][1]][0])
+        parent[max(x, y)] = min(x, y)
+    got = neardup.near_duplicates(spark.createDataFrame(many, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((d, want[i][0], root(d)) for i, (d, _) in enumerate(many))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     multiply, add = neardup._constants(400)
