@@ -5,26 +5,31 @@ diagonals at most 2e apart. Every document is compared whole with all passages:
 overlapping diagonal bands, bands that reach the bound are kept as regions, and each region is verified by alignment
 within the band. Both sides are compared in lower case with runs of anything but letters and digits as one space.
 
-The passages are a stated query set: they go to every task in blocks of at most ``BLOCK_CHARS`` characters, one pass
-over the documents for each block, so what is broadcast is bounded however large the benchmark is.
+Passages of fewer than ``LEAST_CHARS`` characters allow no edit and must stand between word borders; those that are
+shorter than a q-gram must be the whole document.
+
+The passages are a stated query set: they go to every task in blocks of at most ``BLOCK_CHARS`` characters, dealt by a
+hash, one pass over the documents for each block. Of several blocks only one is broadcast at a time, so what the cluster
+holds is bounded however large the benchmark is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import slices, text_buffers
+from .common import materialize, slices, text_buffers
 
 Q = 10
 #: Edits allowed in a passage, of its characters.
 RATE = 0.08
-#: Passages with fewer characters after normalisation are too short to tell and are left out.
+#: Passages with fewer characters after normalisation are searched without edits, between word borders.
 LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
 #: Pairs of equal q-grams held at once.
@@ -80,17 +85,20 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
         self.q, self.ids, self.texts, self.edits, codes, owner, at = q, [], [], [], [], [], []
         known: dict[bytes, int] = {}  # passages alike share one entry
+        self.whole: dict[bytes, list[int]] = {}  # passages without a q-gram
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             x, _, _ = normalise(raw, np.array([0, len(raw)]))
             x = x[: len(x) - (len(x) and x[-1] == 32)]
-            if len(x) < LEAST_CHARS:
+            if len(x) < q:
+                if len(x):
+                    self.whole.setdefault(x.tobytes(), []).append(item)
                 continue
             if x.tobytes() in known:
                 self.ids[known[x.tobytes()]].append(item)
                 continue
             known[x.tobytes()] = len(self.ids)
-            e = int(rate * len(x))
+            e = int(rate * len(x)) if len(x) >= LEAST_CHARS else 0
             while e and len(x) + 1 - q - q * e < 1:
                 e -= 1
             g = grams(x, q)
@@ -161,73 +169,122 @@ class Passages:
             yield int(both_row[s]), int(p[i]), int(both_d[s:t].min()), int(both_d[s:t].max())
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
-    """(distance, end in ``text``) of the best alignment of all of ``pattern`` to a part of ``text``, if within ``most``."""
-    n = len(text)
-    last = np.zeros(n + 1, np.int64)  # the part may start anywhere
-    steps = np.arange(n + 1)
+def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """(distance, start, end in ``text``) of the best alignment of all of ``pattern`` to a part of ``text``, if within ``most``.
+
+    Only the diagonals ``low`` to ``high`` (place in the text less place in the pattern) are filled.
+    """
+    width, far = high - low + 1, 1 << 40
+    steps = np.arange(width)
+    at = np.arange(low, high + 1)  # place in the text of each diagonal, before the row's character
+    # distance and start as one number: of equal distances the earliest start
+    last = np.where((at >= 0) & (at <= len(text)), np.maximum(at, 0), far << 20)
+    padded = np.full(len(pattern) + width + max(0, -low) + len(text) + 2, 256, np.int64)
+    padded[max(0, -low) : max(0, -low) + len(text)] = text
+    first = low + max(0, -low)
+    one = np.int64(1) << 32
     for i, c in enumerate(pattern):
-        row = np.empty(n + 1, np.int64)
-        row[0] = i + 1
-        row[1:] = np.minimum(last[:-1] + (text != c), last[1:] + 1)
-        last = np.minimum.accumulate(row - steps) + steps
-        if last.min() > most:
+        there = padded[first + i : first + i + width]
+        row = last + np.where(there == c, 0, one)
+        row[there == 256] = far << 20
+        row[:-1] = np.minimum(row[:-1], last[1:] + one)
+        last = np.minimum.accumulate(row - steps * one) + steps * one
+        end = at + i + 1
+        last[(end < 0) | (end > len(text))] = far << 20
+        if int(last.min() >> 32) > most:
             return None
-    end = int(last.argmin())
-    return int(last[end]), end
+    best = int(last.argmin())
+    return int(last[best] >> 32), int(last[best] & 0xFFFFFFFF), int(at[best]) + len(pattern)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start, end: the best region of each row of ``docs`` for each passage that it holds.
 
     ``start`` and ``end`` are byte offsets in the row's UTF-8 text; ``distance`` is the number of edits, at most
-    ``rate`` of the passage's characters. Null texts hold nothing; passages with null id or text or of fewer than
-    LEAST_CHARS characters are left out; repeated rows and passages are reported one by one. Empty tables give an
-    empty result. Other columns are ignored.
+    ``rate`` of the passage's characters, none below LEAST_CHARS. Null texts hold nothing; passages with null id or text, or
+    without letters and digits, are in no document; repeated rows and passages are reported one by one. Empty tables give
+    an empty result. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = None
-    for shared in _blocks(benchmark, q, rate, item_col, item_text):
-        part = source.mapInArrow(_reporter(shared), "doc_id long, item_id long, distance int, start long, end long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    search = lambda shared: source.mapInArrow(_reporter(shared), "doc_id long, item_id long, distance int, start long, end long")
+    return reduce(DataFrame.unionByName, _passes(benchmark, q, rate, item_col, item_text, search))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no passage of ``benchmark``. Scans only, no shuffle."""
-    for shared in _blocks(benchmark, q, rate, item_col, item_text):
-        docs = docs.mapInArrow(_filter(shared, text_col), docs.schema)
-    return docs
+    """The rows of ``docs``, unchanged, that hold no passage of ``benchmark``, as ``find_leaks`` tells; null texts stay.
+
+    Scans only, no shuffle.
+    """
+    kept = [docs]
+
+    def search(shared: Broadcast) -> DataFrame:
+        return kept[-1].mapInArrow(_filter(shared, text_col), docs.schema)
+
+    for part in _passes(benchmark, q, rate, item_col, item_text, search):
+        kept.append(part)
+    return kept[-1]
 
 
-def _blocks(benchmark: DataFrame, q: int, rate: float, item_col: str, item_text: str) -> Iterator:
-    """Broadcasts of the passages, of BLOCK_CHARS characters (or one passage) at most each; one at least."""
+def _passes(benchmark: DataFrame, q: int, rate: float, item_col: str, item_text: str, search: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """What ``search`` makes of each block of passages, one block at least.
+
+    Blocks have BLOCK_CHARS characters (or one passage) at most. If there are several, each result is written and its
+    broadcast is taken back before the next one.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    upto = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = items.withColumn("block", F.floor(F.sum(F.length("text") + 1).over(upto) / BLOCK_CHARS))
-    for block in [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()] or [0]:
-        rows = numbered.where(F.col("block") == block).select("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Passages([(r["item_id"], r["text"]) for r in rows], q, rate))
+    total, longest = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0)), F.coalesce(F.max(F.length("text") + 1), F.lit(0))).first()
+    parts = max(1, -(-total // BLOCK_CHARS))
+    block = lambda n: F.pmod(F.xxhash64("text", "item_id"), F.lit(n))
+    while parts > 1 and items.groupBy(block(parts).alias("b")).agg(F.sum(F.length("text") + 1).alias("n")).agg(F.max("n")).first()[0] > max(longest, BLOCK_CHARS):
+        parts *= 2
+    for i in range(parts):
+        rows = items.where(block(parts) == i).orderBy("item_id", "text").collect()
+        if not rows and parts > 1:
+            continue
+        shared = spark.sparkContext.broadcast(Passages([(r["item_id"], r["text"]) for r in rows], q, rate))
+        if parts == 1:
+            yield search(shared)
+        else:
+            done = materialize(search(shared), "leaks")
+            shared.destroy()
+            yield done
 
 
 def leaks(passages: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, distance, first byte, end) of the best region of each text for each passage it holds."""
     data, ends = text_buffers(texts.fill_null(""))
-    if not passages.ids:
+    if not passages.ids and not passages.whole:
         return
     for i, j in slices(ends, CHUNK):
         x, cut, place = normalise(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        for row in range(j - i) if passages.whole else ():
+            own = x[cut[row] : cut[row + 1]]
+            if len(own) <= passages.q and (items := passages.whole.get(own.tobytes().rstrip())):
+                origin, n = int(ends[i + row] - ends[i]), len(own.tobytes().rstrip())
+                for item in items:
+                    yield i + row, item, 0, int(place[cut[row]]) - origin, int(place[cut[row] + n - 1]) + 1 - origin
         best: dict[tuple[int, int], tuple] = {}
-        for row, p, low, high in passages.regions(x, cut):
-            e = passages.edits[p]
-            a, b = max(int(cut[row]), low - e), min(int(cut[row + 1]), high + len(passages.texts[p]) + e)
-            got = banded(passages.texts[p], x[a:b], e)
-            if got and got[0] < best.get((row, p), (1 << 30,))[0]:
-                back = banded(passages.texts[p][::-1], x[a : a + got[1]][::-1], got[0])
-                start = a + got[1] - (back[1] if back else len(passages.texts[p]))
+        for row, p, low, high in passages.regions(x, cut) if passages.ids else ():
+            e, pattern = passages.edits[p], passages.texts[p]
+            a, b = int(cut[row]), int(cut[row + 1])
+            got = None
+            if len(pattern) >= LEAST_CHARS:
+                s, t = max(a, low - e), min(b, high + len(pattern) + e)
+                got = banded(pattern, x[s:t], low - e - s, high + e - s, e)
+                if got and got[0] < best.get((row, p), (1 << 30,))[0]:
+                    got = got[0], s + got[1], s + got[2]
+                else:
+                    got = None
+            elif (row, p) not in best:
+                for s in range(low, high + 1):  # the places of a band without edits
+                    t = s + len(pattern)
+                    if a <= s and t <= b and (s == a or x[s - 1] == 32) and (t == b or x[t] == 32) and (x[s:t] == pattern).all():
+                        got = 0, s, t
+                        break
+            if got:
                 origin = int(ends[i + row] - ends[i])
-                best[row, p] = (got[0], int(place[start]) - origin, int(place[a + got[1] - 1]) + 1 - origin)
+                best[row, p] = (got[0], int(place[got[1]]) - origin, int(place[got[2] - 1]) + 1 - origin)
         for (row, p), v in sorted(best.items()):
             for item in passages.ids[p]:
                 yield i + row, item, *v

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from plain import SCHEMA, WORD, corpus, mixture_targets, personal, words
@@ -44,6 +45,51 @@ def test_leaks_are_found_with_edits_and_clean_texts_are_left(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {d for d, _ in want}
 
 
+def folded(t, trim=True):
+    x = re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", t.lower())
+    return x.strip() if trim else x
+
+
+def best_distance(pattern, text):
+    last = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        row = [i + 1]
+        for j, d in enumerate(text):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        last = row
+    return min(last)
+
+
+def test_leaks_against_plain_alignment(spark):
+    rng = random.Random(16)
+    items = [(i, words(rng, rng.randint(10, 22))) for i in range(6)] + [(20, "Who wrote Hamlet?"), (21, "in the year 1603 or so"), (22, "yes"), (23, "a a a a a a a a a a"), (24, "a" * 60), (25, "!?")]
+    docs = []
+    for i in range(60):
+        leak = list(items[i % 6][1])
+        for _ in range(rng.randint(0, int(0.12 * len(leak)))):
+            k = rng.randrange(len(leak))
+            leak[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
+        docs.append((i, words(rng, rng.randint(0, 6)) + " " + "".join(leak) + " " + words(rng, rng.randint(0, 6))))
+    docs += [(100, "So: who wrote  HAMLET, then"), (101, "whowrote hamlet"), (102, "Who wrote Hamlets"), (103, "Yes!"), (104, "yes and no"), (105, "b " + "a " * 30), (106, "a" * 3000), (107, "in the year 1603 or so"), (108, ""), (109, None), (110, "in the year 1603 or son, in the year 1603 or so")]
+    want = set()
+    for d, t in docs:
+        x = folded(t or "")
+        for k, p in items:
+            p = folded(p)
+            n = len(p)
+            e = int(decontamination.RATE * n) if n >= decontamination.LEAST_CHARS else 0
+            while e and n + 1 - decontamination.Q * (e + 1) < 1:
+                e -= 1
+            if n >= decontamination.LEAST_CHARS and best_distance(p, x) <= e or decontamination.Q <= n < decontamination.LEAST_CHARS and f" {p} " in f" {x} " or 0 < n < decontamination.Q and x == p:
+                want.add((d, k))
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    by, texts = dict(items), dict(docs)
+    for r in got:
+        part, p = folded(texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode(), False), folded(by[r["item_id"]])
+        assert best_distance(p, part) == r["distance"] and len(part) <= len(p) + r["distance"]
+
+
 def test_passages_go_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 300)
     rng = random.Random(8)
