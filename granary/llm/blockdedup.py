@@ -6,8 +6,9 @@ probes the index, and hits are extended on either side: each window of W words a
 hit, is compared as a whole, and the windows that start in a smaller document too merge into maximal repeats.
 
 Probes travel packed: a task sends one blob of hash bytes, places and documents to each part of the hash space. A hash
-is aggregated to its smallest block and its largest probe where it lands, so a passage that every document holds costs
-its occurrences, never their pairs.
+is aggregated to its smallest block and its largest probe, first within a few megabytes of text and then where it lands:
+what is decided on the spot goes out as such, and of a passage that every document holds only the smallest documents of
+each of these slices and one larger one meet in its part. Its occurrences are never paired.
 """
 
 from __future__ import annotations
@@ -72,16 +73,65 @@ def pack(bits: int, ids: np.ndarray, counts: np.ndarray, places: np.ndarray, has
             yield p, shuffled(ids[own[new]]), shuffled(np.diff(np.append(new, len(own)))), shuffled(places[at]), tail[at].T.tobytes()
 
 
+def repeats(code: np.ndarray) -> np.ndarray:
+    """The places of the codes that occur more than once."""
+    s = np.sort(code)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    marked = np.zeros(1 << 22, bool)
+    marked[(twice >> np.uint64(42)).astype(np.int64)] = True
+    maybe = np.flatnonzero(marked[(code >> np.uint64(42)).astype(np.int64)])
+    at = np.searchsorted(twice, code[maybe])
+    at[at == len(twice)] = 0
+    return maybe[twice[at] == code[maybe]]
+
+
+def met_here(docs: np.ndarray, anchored: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, entries that need not travel) among a slice's own entries.
+
+    An entry is a hit beside a smaller document's block, a block also beside a larger document. Of each code the
+    smallest block and the largest document travel, and all that are not decided.
+    """
+    hit, stay = np.zeros(len(code), bool), np.zeros(len(code), bool)
+    dup = repeats(code)
+    if len(dup):
+        _, at = np.unique(code[dup], return_inverse=True)
+        own, block = docs[dup], anchored[dup]
+        least, most = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(least, at[block], own[block])
+        np.maximum.at(most, at, own)
+        here = (own > least[at]) | block & (own < most[at])
+        hit[dup] = here
+        stay[dup] = here & ~(block & (own == least[at])) & (own < most[at])
+    return hit, stay
+
+
+def decided(bits: int, ids: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, None]]:
+    """Rows like ``pack``'s without hashes: entries that are decided, dealt by their documents."""
+    owner = np.repeat(np.arange(len(ids)), counts)
+    part = (mix64(ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    for p in np.unique(part[counts > 0]):
+        mine = part == p
+        yield int(p), shuffled(ids[mine]), shuffled(counts[mine]), shuffled(places[mine[owner]]), None
+
+
 PACKED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
 PACKED_DDL = "part int, docs binary, counts binary, places binary, hashes binary"
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, places, hashes) of each part of a partition; hashes as ``width`` bytes in one void column or as numbers."""
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(documents, places, hashes) of each part of a partition; hashes as ``width`` bytes in one void column or as numbers.
+
+    Decided entries come first, without hashes.
+    """
     held: dict[int, list] = {}
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            held.setdefault(row[0], []).append(row[1:])
+            if row[4] is None:
+                yield np.repeat(unshuffled(row[1]), unshuffled(row[2])), unshuffled(row[3]), None
+            else:
+                held.setdefault(row[0], []).append(row[1:])
     for part in list(held):
         rows = held.pop(part)
         docs = np.concatenate([np.repeat(unshuffled(d), unshuffled(c)) for d, c, _, _ in rows])
@@ -125,7 +175,10 @@ def probes(docs: DataFrame, window: int, block: int, bits: int) -> DataFrame:
                 n = np.diff(cut)
                 n = np.where((n >= window) & (ids[i:j] != NO_ID), n - block + 1, 0)
                 at = np.concatenate([np.arange(s, s + k) for s, k in zip(cut[:-1], n)]) if n.sum() else np.zeros(0, np.int64)
-                rows = list(pack(bits, ids[i:j], n, at - np.repeat(cut[:-1], n), code[at]))
+                place, owner = at - np.repeat(cut[:-1], n), np.repeat(np.arange(j - i), n)
+                hit, stay = met_here(ids[i:j][owner], place % block == 0, code[at])
+                rows = list(decided(bits, ids[i:j], np.bincount(owner[hit], minlength=j - i), place[hit]))
+                rows += pack(bits, ids[i:j], np.bincount(owner[~stay], minlength=j - i), place[~stay], code[at[~stay]])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
@@ -138,6 +191,9 @@ def hits(packed: DataFrame, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for docs, places, code in unpacked(batches, 4):
+            if code is None:
+                rows += by_document(docs, places)
+                continue
             anchored = places % block == 0
             index, at = np.unique(code[anchored], return_inverse=True)
             least = np.full(len(index), np.iinfo(np.int64).max)
@@ -180,7 +236,16 @@ def windows(docs: DataFrame, near: DataFrame, window: int, block: int, bits: int
                 n = np.array([len(s) for s in starts])
                 place = np.concatenate(starts) if len(starts) else np.zeros(0, np.int64)
                 at = place + np.repeat(cut[:-1], n)
-                rows = list(pack(bits, ids[i:j], n, place + np.repeat(tags[i:j], n), code[at], more[at]))
+                place, owner = place + np.repeat(tags[i:j], n), np.repeat(np.arange(j - i), n)
+                later = np.zeros(len(at), bool)  # windows that a smaller document of the slice starts too
+                dup = repeats(code[at])
+                if len(dup):
+                    own, a, b = ids[i:j][owner[dup]], code[at[dup]], more[at[dup]]
+                    order = np.lexsort((own, b, a))
+                    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+                    later[dup[order]] = own[order] > own[order][np.maximum.accumulate(np.where(new, np.arange(len(dup)), 0))]
+                rows = list(decided(bits, ids[i:j], np.bincount(owner[later], minlength=j - i), place[later]))
+                rows += pack(bits, ids[i:j], np.bincount(owner[~later], minlength=j - i), place[~later], code[at[~later]], more[at[~later]])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
@@ -193,6 +258,9 @@ def repeated(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for docs, places, code in unpacked(batches, 9):
+            if code is None:
+                rows += by_document(docs, places)
+                continue
             order = np.lexsort((docs, code.b, code.a))
             a, b, own = code.a[order], code.b[order], docs[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
