@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, language, mixing, neardup, queries, sharding
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, scratch_scope, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,23 +19,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of repeated rows one. Null ids stay."""
+    """One document of each group of near duplicates, the one with the smallest id; of rows alike in id and text one.
+
+    Rows with a null id are in no group: of those with equal texts one stays. Null texts count as empty.
+    """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    text = F.coalesce("text", F.lit(""))
+    a, b = _free(docs, "a"), _free(docs, "b")
+    return named.withColumn(a, F.xxhash64(text)).withColumn(b, F.hash(text)).dropDuplicates(["doc_id", a, b]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null texts hold none."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it; rows alike in all columns are taken equally often."""
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    taken = mixing.mix_documents(rows, queries.quality(table(spark, sf_dir, "labels")), keep=("_row",)).groupBy("_row").agg(F.max("copies").alias("_copies"))
-    out = rows.join(taken.where("_copies > 0"), "_row")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Every document as often as the mixture takes it; rows alike in all columns share their copies.
+
+    Null texts and sources without words take nothing.
+    """
+    a, b, n = _free(docs, "a"), _free(docs, "b"), _free(docs, "n")
+    rows = docs.withColumn(a, F.xxhash64(*docs.columns)).withColumn(b, F.hash(*docs.columns))
+    taken = mixing.mix_documents(rows, queries.quality(table(spark, sf_dir, "labels")), keep=(a, b)).groupBy(a, b).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    out = rows.dropDuplicates([a, b]).join(taken, [a, b])
+    return out.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark, name):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outside=True)
     return docs
