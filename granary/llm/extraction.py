@@ -1,12 +1,14 @@
 """Main text of HTML pages by text-to-tag ratios (after CETR, Weninger et al. 2010).
 
 The standard library's parser streams its events over the whole page; block-level elements cut the text into lines, and
-each line knows its text, the tags met since the line before, the sections it lies in, and whether one of these is
-boilerplate by its element, role or class. The ratio of text to tags per line is smoothed by a Gaussian over the page
-and clustered into two by its distance from the mean; lines of the upper cluster are content. The region is what holds
-them: the articles (else the main part) with content lines, else the smallest section with all content
-lines, and what stands directly in the sections around it, links apart.
-All lines of the region go out, short ones too, but for boilerplate inside it.
+each line knows its text, the tags met since the line before, and its place in a tree of the sections and of the
+elements that look like boilerplate by element, role or name. The ratio of text to tags per line is smoothed by a
+Gaussian over the page and clustered into two; lines of the upper cluster are content.
+
+The ratio overrules names: what is named like boilerplate but holds most of the page's text, in content lines, is
+layout. The region is what holds the content lines: the articles (else the main part) with such lines, else the smallest
+section with all of them, and what stands directly in the sections around it, links apart. All lines of the region go
+out, short ones too, but for boilerplate inside it and for runs of short links in the lower cluster.
 """
 
 from __future__ import annotations
@@ -40,34 +42,47 @@ NAMES = re.compile(
 )
 #: Articles that are comments or adverts themselves.
 NOT_MAIN = re.compile(r"(?:^|\s)(?:comment|reply|sponsored|advert|ad)(?:\s|$|-(?!open|closed|status))", re.I)
-#: Sections nested deeper belong to the one at this depth.
-DEEPEST = 200
+#: Names of what readers write, which may well be most of a page's text.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?\w+|disqus|replies|reply|respond|reactions)(?:$|[\s_-])", re.I)
+#: A run of so many links or more on end, of so many characters at most each on average, is a menu.
+MENU_LINKS, MENU_CHARS = 5, 25
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("head title meta link script style base noscript template".split())
 #: An open p ends where one of these starts.
 ENDS_P = BLOCK - frozenset(["html", "body", "title", "option", "optgroup", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"])
 
 
 class Line:
-    __slots__ = ("named", "path", "prose", "skip", "tags", "text")
+    __slots__ = ("links", "node", "prose", "skip", "tags", "text")
 
-    def __init__(self, text: str, tags: int, path: tuple, skip: bool, named: tuple, linked: int):
-        self.text, self.tags, self.path, self.skip, self.named = text, tags, path, skip, named
+    def __init__(self, text: str, tags: int, node: int, skip: bool, linked: int, links: int):
+        self.text, self.tags, self.node, self.skip, self.links = text, tags, node, skip, links
         self.prose = max(0, len(text) - linked)
 
 
+class Node:
+    """A section, or an element that is boilerplate by element, role or name; 0 is the page."""
+
+    __slots__ = ("around", "boiler", "by_element", "inside", "name", "parent", "reader", "section", "soft", "wrapping")
+
+    def __init__(self, name: str, parent: int, section: bool, boiler: bool = False, by_element: bool = False, inside: bool = False, soft: bool = False, reader: bool = False):
+        self.name, self.parent, self.section, self.boiler, self.by_element, self.inside, self.soft, self.reader = name, parent, section, boiler, by_element, inside, soft, reader
+        self.around = False  # holds an article or the main part: layout
+        self.wrapping = 0  # 1: holds a first heading or other boilerplate; 2: an article
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page. ``path``: the open sections as (name, serial number), outermost first."""
+    """Collects the lines of a page and the tree that they stand in; parents come before children."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, boilerplate too deep to be judged, silent, a section, boilerplate, a link
-        self.path: tuple = ()
-        self.named: tuple = ()  # the open elements that are boilerplate by element, role or name
-        self.boxes: dict[int, tuple[str, bool, bool]] = {}  # of these: name, by element, inside an article or the main part
-        self.around: set[int] = set()  # those that hold an article or the main part: layout, not boilerplate
-        self.articles: set[int] = set()  # other elements that hold an article
-        self.wrapping: set[int] = set()  # those that hold a first heading or other boilerplate
-        self.skip = self.silent = self.main = self.tags = self.serial = self.links = self.linked = 0
+        self.nodes = [Node("", 0, True)]
+        self.open: list[tuple[str, bool, int, bool]] = []  # name, silent, the node before if it made one or -1, a link
+        self.node = 0
+        self.boxes: list[int] = []  # the open nodes that are boilerplate
+        self.told = [0, 0, 0]  # of these, how many know that they wrap something, an article, the main part
+        self.silent = self.main = self.head = self.tags = self.links = self.linked = self.anchors = 0
         self.parts: list[str] = []
 
     def cut(self) -> None:
@@ -75,12 +90,14 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append(Line(text, self.tags, self.path, self.skip > 0, self.named, self.linked))
+                self.lines.append(Line(text, self.tags, self.node, False, self.linked, self.anchors))
                 self.tags = 0
-            self.linked = 0
+            self.linked = self.anchors = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if self.head and tag not in HEAD:
+            self.end_element("head")
         if tag in VOID:
             if tag == "hr":
                 self.cut()
@@ -93,37 +110,42 @@ class Lines(HTMLParser):
                 self.end_element("p", within=SECTION)
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 self.end_element(tag, within=frozenset(["ul", "ol", "dl", "table", "select", "tr"]) - {tag})
-        named = False
         inside = self.main > 0
+        named = hard = reader = False
         if tag not in ("html", "body", "article", "main"):
             for key, value in attrs:
-                if value and (key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES) or key == "hidden" or key == "aria-hidden" and value == "true":
-                    named = True
+                if key in ("class", "id") and value and NAMES.search(value):
+                    named, reader = True, reader or bool(READERS.search(value))
+                elif value and key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+                    hard = True
         elif tag == "article":
-            named = any(key in ("class", "id") and value and NOT_MAIN.search(value) for key, value in attrs)
-        if tag in ("article", "main") and not named:
-            for n in self.named:
-                name, by_element, _ = self.boxes[n]
-                (self.around if not by_element or name == "form" or tag == "main" else self.articles).add(n)
-        boiler = tag in BOILERPLATE or tag == "header" and not inside
-        by_element, named = boiler and not named, named or boiler
-        if tag == "h1" or named:
-            self.wrapping.update(self.named)
-        silent, section = tag in SILENT, tag in SECTION and len(self.path) < DEEPEST
-        named = named and len(self.named) < DEEPEST
-        boiler = boiler and not named
-        link = tag == "a" and any(key == "href" for key, _ in attrs)
-        self.open.append((tag, boiler, silent, section, named, link))
+            hard = any(key in ("class", "id") and value and NOT_MAIN.search(value) for key, value in attrs)
+        by_element = tag in BOILERPLATE or tag == "header" and not inside
+        boiler, section = named or hard or by_element, tag in SECTION
+        if tag in ("article", "main") and not boiler:
+            kind = 2 if tag == "main" else 1
+            for n in self.boxes[self.told[kind] :]:
+                box = self.nodes[n]
+                box.wrapping = 2
+                box.around = box.around or not box.by_element or box.name == "form" or tag == "main"
+            self.told[kind] = len(self.boxes)
+        if tag == "h1" or boiler:
+            for n in self.boxes[self.told[0] :]:
+                self.nodes[n].wrapping = max(1, self.nodes[n].wrapping)
+            self.told[0] = len(self.boxes)
+        before = -1
+        if section or boiler:
+            before, self.node = self.node, len(self.nodes)
+            self.nodes.append(Node(tag, before, section, boiler, by_element and not (named or hard), inside, named and not (hard or by_element), reader))
+            if boiler:
+                self.boxes.append(self.node)
+        silent, link = tag in SILENT, tag == "a" and any(key == "href" for key, _ in attrs)
+        self.open.append((tag, silent, before, link))
         self.links += link
-        self.skip += boiler
+        self.anchors += link
         self.silent += silent
+        self.head += tag == "head"
         self.main += tag in ("article", "main")
-        self.serial += 1
-        if named:
-            self.named = (*self.named, self.serial)
-            self.boxes[self.serial] = (tag, by_element, inside)
-        if section:
-            self.path = (*self.path, (tag, self.serial))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,15 +161,16 @@ class Lines(HTMLParser):
                 return
         else:
             return
-        for name, boiler, silent, section, named, link in self.open[i:]:
+        for name, silent, before, link in reversed(self.open[i:]):
             self.links -= link
-            if named:
-                self.named = self.named[:-1]
             self.main -= name in ("article", "main")
-            self.skip -= boiler
+            self.head -= name == "head"
             self.silent -= silent
-            if section:
-                self.path = self.path[:-1]
+            if before >= 0:
+                if self.nodes[self.node].boiler:
+                    self.boxes.pop()
+                    self.told = [min(x, len(self.boxes)) for x in self.told]
+                self.node = before
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -160,6 +183,8 @@ class Lines(HTMLParser):
         self.end_element(tag, within=frozenset() if tag in SECTION or tag in BOILERPLATE or tag in ("header", "body", "html") else SECTION | BOILERPLATE | {"header"} | (frozenset() if tag in BLOCK else BLOCK))
 
     def handle_data(self, data: str) -> None:
+        if self.head and self.open[-1][0] == "head" and not data.isspace():
+            self.end_element("head")
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -170,27 +195,54 @@ class Lines(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def within(self, values: list[float]) -> list[float]:
+        """Sums over each node and what is in it, of one value for each line."""
+        out = [0.0] * len(self.nodes)
+        for x, v in zip(self.lines, values):
+            out[x.node] += v
+        for n in range(len(out) - 1, 0, -1):
+            out[self.nodes[n].parent] += out[n]
+        return out
+
+    def below(self, flags: list[bool]) -> list[bool]:
+        """Which nodes are flagged or lie in one that is."""
+        out = list(flags)
+        for n in range(1, len(out)):
+            out[n] = out[n] or out[self.nodes[n].parent]
+        return out
+
     def settled(self) -> list[Line]:
         """The lines, those in boilerplate marked.
 
         Boilerplate with an article or the main part in it is layout; an element such as an aside is so for an article
-        only if most of the page's prose (text outside links) is in it. Where no other article or main part has prose,
-        what holds most of it is layout too if it is a form or wraps a first heading or other boilerplate.
+        only if most of the page's prose (text outside links) is in it. Boxes with most of the prose lie in each other.
+        Such a box is layout as well where no other article or main part has prose, if it is a form or wraps a first
+        heading or other boilerplate; and where it has its name only and its lines are content by their ratio, unless
+        it is named as the readers' part. What lies in a box that is no layout goes, whatever else is said of it.
         """
-        total, within = 0, dict.fromkeys(self.boxes, 0)
-        for x in self.lines:
-            total += x.prose
-            for n in x.named:
-                within[n] += x.prose
-        for n in sorted(n for n, most in within.items() if 2 * most > total and n not in self.around):
-            name, _, inside = self.boxes[n]
-            wraps = n in self.articles or name not in ("footer", "header") and (name == "form" or n in self.wrapping)
-            if wraps:
-                left = [x for x in self.lines if x.prose and not x.skip and n not in x.named and all(m in self.around for m in x.named)]
-                if not left or not inside and not any(p[0] in ("article", "main") for x in left for p in x.path):
-                    self.around.add(n)
+        nodes, prose = self.nodes, [x.prose for x in self.lines]
+        if not self.lines:
+            return []
+        ratio = smooth(np.array([len(x.text) / max(1, x.tags) for x in self.lines]))
+        rich = ratio >= threshold(ratio)
+        held = self.within(prose)
+        chain = [n for n in range(1, len(nodes)) if nodes[n].boiler and not nodes[n].around and 2 * held[n] > held[0]]
+        ok = set(chain)
+        bad = self.below([x.boiler and not x.around and n not in ok for n, x in enumerate(nodes)])
+        proper = self.below([x.section and x.name in ("article", "main") for x in nodes])
+        clean = [v * (not bad[x.node]) for x, v in zip(self.lines, prose)]
+        most, parts = self.within(clean), self.within([v * proper[x.node] for x, v in zip(self.lines, clean)])
+        content = self.within([v * bool(r) for v, r in zip(prose, rich)])
+        for n in chain:
+            box = nodes[n]
+            wraps = box.wrapping == 2 or box.name == "form" or box.wrapping and box.name not in ("footer", "header")
+            alone = most[0] <= most[n] or not box.inside and parts[0] <= parts[n]
+            if not (wraps and alone) and not (box.soft and not box.reader and 2 * content[n] > held[0]):
+                break
+            box.around = True
+        bad = self.below([x.boiler and not x.around for x in nodes])
         for x in self.lines:
-            x.skip = x.skip or any(n not in self.around for n in x.named)
+            x.skip = bad[x.node]
         return self.lines
 
     def close(self) -> None:
@@ -223,31 +275,52 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def select(lines: list[Line]) -> list[str]:
+def menus(lines: list[Line], kept: list[int], low: np.ndarray) -> set[int]:
+    """Lines of the lower cluster that are runs of short links and nothing else."""
+    out, run = set(), []
+    for i in [*kept, None]:
+        if i is not None and low[i] and lines[i].links and 10 * (lines[i].prose - 3 * lines[i].links) <= len(lines[i].text):  # up to three characters part two links
+            run.append(i)
+            continue
+        links = sum(lines[j].links for j in run)
+        if links >= MENU_LINKS and sum(len(lines[j].text) for j in run) <= MENU_CHARS * links:
+            out.update(run)
+        run = []
+    return out
+
+
+def select(page: Lines) -> list[str]:
     """Texts of the region's lines in page order."""
+    lines, nodes = page.settled(), page.nodes
     if not lines or all(x.skip for x in lines):
         return []
     ratio = smooth(np.array([0.0 if x.skip else len(x.text) / max(1, x.tags) for x in lines]))
     cut = threshold(ratio)
     kept = [i for i, x in enumerate(lines) if not x.skip]
-    content = [i for i in kept if ratio[i] >= cut] or kept
+    gone = menus(lines, kept, ratio < cut)
+    kept = [i for i in kept if i not in gone] or kept
+    content = {i for i in kept if ratio[i] >= cut} or set(kept)
+    held, any_ = page.within([i in content for i in range(len(lines))]), page.within([not x.skip for x in lines])
     for name in ("article", "main"):
-        region = {p[1] for i in content for p in lines[i].path if p[0] == name} or {p[1] for i in kept for p in lines[i].path if p[0] == name}
-        if region:
-            return [lines[i].text for i in kept if any(p[1] in region for p in lines[i].path)]
-    shared = lines[content[0]].path
-    for i in content:
-        same = 0
-        for p, q in zip(shared, lines[i].path):
-            if p != q:
-                break
-            same += 1
-        shared = shared[:same]
-    if not shared:
-        return [lines[i].text for i in kept]
+        parts = [x.section and x.name == name for x in nodes]
+        for count in (held, any_):
+            region = [p and c > 0 for p, c in zip(parts, count)]
+            if any(region):
+                inside = page.below(region)
+                return [lines[i].text for i in kept if inside[lines[i].node]]
+    # the deepest section with all content lines, and the sections around it
+    shared, around = 0, set()
+    for n, x in enumerate(nodes):
+        if x.section and held[n] == held[0]:
+            shared = n
+            around.add(n)
+    around.discard(shared)
+    inside = page.below([n == shared for n in range(len(nodes))])
+    section = [0] * len(nodes)
+    for n in range(1, len(nodes)):
+        section[n] = n if nodes[n].section else section[nodes[n].parent]
     # titles, leads and closings stand beside the region, directly in a section around it
-    beside = {shared[:n] for n in range(len(shared))}
-    return [lines[i].text for i in kept if shared[-1] in lines[i].path or lines[i].prose and lines[i].path in beside]
+    return [lines[i].text for i in kept if inside[lines[i].node] or lines[i].prose and section[lines[i].node] in around]
 
 
 def main_text(html: str) -> str:
@@ -255,7 +328,7 @@ def main_text(html: str) -> str:
     p = Lines()
     p.feed(html)
     p.close()
-    return "\n\n".join(select(p.settled()))
+    return "\n\n".join(select(p))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,5 +1,8 @@
+import html
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from plain import SCHEMA, WORD, corpus, mixture_targets, personal, words
@@ -208,6 +211,50 @@ def test_deep_and_broken_markup():
     assert "x" in extraction.main_text("<article><p>x</b></i></div></p>" + "</span>" * 50)
 
 
+BODY = "".join(f"<p>{'sentence of the article with many words in it ' * 4}{i}.</p>" for i in range(4))
+PLAIN = "\n\n".join("sentence of the article with many words in it " * 4 + f"{i}." for i in range(4))
+
+
+def test_ratio_overrules_names_and_open_heads():
+    text = extraction.main_text
+    menu = "<nav><a href=x>a</a><a href=y>b</a></nav>"
+    assert text(f"<html><head><title>t</title><body>{menu}<article>{BODY}</article>") == PLAIN
+    assert text(f"<html><head><title>t</title>{menu}<article>{BODY}</article>") == PLAIN
+    assert text("<head><title>t</title>Words without a body") == "Words without a body"
+    assert text(f"<body>{menu}<div id='nav-content'>{BODY}</div><footer>f</footer></body>") == PLAIN
+    assert text(f"<body><article><section class='social'>{BODY}</section></article></body>") == PLAIN
+    assert text(f"<body><article>{BODY}<div class='social'><a href=x>Share</a></div></article></body>") == PLAIN
+    assert text(f"<body><article><p>A short article that is here.</p><section class='comments'>{BODY}</section></article></body>") == "A short article that is here."
+    links = "".join(f"<a href='/{i}'>page {i}</a> " for i in range(40))
+    assert text(f"<body><article>{BODY}<p>{links}</p></article></body>") == PLAIN
+    assert text(f"<body><article>{BODY}<ul>{''.join(f'<li><a href=/{i}>page {i}</a></li>' for i in range(9))}</ul></article></body>") == PLAIN
+    assert text(f"<body><article>{BODY}<p>see <a href=x>this</a>, <a href=y>that</a></p></article></body>") == PLAIN + "\n\nsee this, that"
+
+
+def test_deep_nesting_loses_no_mark():
+    n = 20_000
+    start = time.time()
+    page = "<div class='menu'>" * n + "<a href=x>menu</a>" + "</div>" * n + "<section>" * n + BODY + "</section>" * n
+    assert extraction.main_text(page) == PLAIN
+    assert extraction.main_text("<nav>" * n + "m" + "</nav>" * n + "<form>" * n + BODY + "</form>" * n) == PLAIN
+    assert time.time() - start < 60
+
+
+def test_whole_pages_against_a_plain_extraction(spark):
+    """Every page of the table; the plain version cuts the article out by patterns, which these pages allow."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in extraction.extract_pages(pages).collect()}
+    right, told, wanted = 0, 0, 0
+    for r in pages.collect():
+        inner = re.search("(?s)<article>(.*?)</article>", r["html"])[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        want, text = "\n\n".join(b for b in blocks if b), got[r["page_id"]]["text"]
+        a, b = Counter(want.split()), Counter(text.split())
+        right, told, wanted = right + sum((a & b).values()), told + sum(b.values()), wanted + sum(a.values())
+        assert text == want and got[r["page_id"]]["n_chars"] == len(text)
+    assert right == told == wanted > 0  # precision and recall in words
+
+
 # personal data
 
 
