@@ -10,7 +10,8 @@ window of every anchor whether it occurs elsewhere.
 
 Suffixes alike on both sides collapse in their run and again in the merge, so exact copies cost their number, not its
 square. k-grams with over ``HOT`` occurrences do not meet in one task: their windows are exchanged by a hash of the
-whole window each instead, which spreads all but windows alike, and those are counted.
+whole window each instead (128 bits of two independent polynomials), which spreads all but windows alike; of these,
+each few megabytes of text send one.
 """
 
 from __future__ import annotations
@@ -340,21 +341,47 @@ HOT_ROWS = pa.schema([("part", pa.int32()), ("kid", pa.int64()), ("th", pa.int64
 HOT_DDL = "part int, kid long, th long, places binary, hashes binary"
 
 
+#: A random 64-bit number for each byte, so that the second hash of a window is independent of the first one.
+SECOND = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def hot_windows(rows: DataFrame, window: int, parts: int) -> DataFrame:
-    """Hashes (128 bits) and places of all windows of hot anchors, packed by row and part of the hash space."""
+    """Hashes (128 bits) and places of the windows of hot anchors, packed by row and part of the hash space.
+
+    Windows that occur twice within a slice of rows are decided there: their places go out without hashes, and of each
+    hash one place travels for the other slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kid, th = batch.column("kid").to_pylist(), batch.column("th").to_pylist()
             data, ends = text_buffers(batch.column("text"))
-            spots = batch.column("spots").to_pylist()
-            for r in range(batch.num_rows):
-                place = np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spots[r]]))
-                raw = data[ends[r] : ends[r + 1]]
-                both = np.stack([gram_hashes(x, window)[place] for x in (raw, raw ^ np.uint8(0x5A))], axis=1)
-                part = (both[:, 0] % np.uint64(parts)).astype(np.int64)
-                rows_ = [(p, kid[r], th[r], place[part == p].tobytes(), both[part == p].tobytes()) for p in np.unique(part).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_), HOT_ROWS)], schema=HOT_ROWS)
+            spots = batch.column("spots")
+            cuts, fields = spots.offsets.to_numpy() - spots.offsets[0].as_py(), spots.flatten()
+            lo, hi = (fields.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            for i, j in slices(ends, CHUNK):
+                places, codes, counts = [], [], []
+                for r in range(i, j):
+                    place = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[cuts[r] : cuts[r + 1]], hi[cuts[r] : cuts[r + 1]])]))
+                    raw = data[ends[r] : ends[r + 1]]
+                    codes.append(np.stack([gram_hashes(x, window)[place] for x in (raw, SECOND[raw])], axis=1))
+                    places.append(place.astype(np.int64))
+                    counts.append(len(place))
+                place, both, owner = np.concatenate(places), np.concatenate(codes), np.repeat(np.arange(i, j), counts)
+                order = np.lexsort((both[:, 1], both[:, 0]))
+                same = (both[order[1:]] == both[order[:-1]]).all(axis=1)
+                new, twice = np.concatenate([[True], ~same]), np.zeros(len(order), bool)
+                twice[order] = ~new | np.concatenate([same, [False]])
+                sent = np.sort(order[new])
+                out = [(kid[r] % parts, kid[r], th[r], place[(owner == r) & twice].tobytes(), None) for r in np.unique(owner[twice]).tolist()]
+                part = (both[sent, 0] % np.uint64(parts)).astype(np.int64)
+                group = np.lexsort((part, owner[sent]))
+                sent, part = sent[group], part[group]
+                first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[sent[1:]] != owner[sent[:-1]])]))
+                for s, t in zip(first.tolist(), [*first[1:].tolist(), len(sent)]):
+                    r = int(owner[sent[s]])
+                    out.append((int(part[s]), kid[r], th[r], place[sent[s:t]].tobytes(), both[sent[s:t]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HOT_ROWS)], schema=HOT_ROWS)
 
     return rows.mapInArrow(run, HOT_DDL)
 
@@ -366,7 +393,11 @@ def hot_ranges(packed: DataFrame) -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                held.setdefault(row[0], []).append(row[1:])
+                if row[4] is None:
+                    place = np.frombuffer(row[3], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(place), row[1]), np.full(len(place), row[2]), place, place)], schema=RANGES)
+                else:
+                    held.setdefault(row[0], []).append(row[1:])
         for part in list(held):
             rows = held.pop(part)
             place = np.concatenate([np.frombuffer(x[2], np.int64) for x in rows])
