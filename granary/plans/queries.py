@@ -963,4 +963,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["clean_mix"] = flagship
 SQL["clean_mix"] = NGRAM_SQL + """, b as (select distinct original_id from s where score > 0.5), k as (select *, row_number() over (partition by source order by doc_id) as k from documents where doc_id not in (select original_id from b) and doc_id not in (select doc_id from labels where toxic = 1))
-select source, count(*) as documents, sum(n_chars)::bigint as chars, count(distinct lang) as languages from k where k <= 1000 group by source"""
+select source, count(*) as documents, sum(n_chars)::bigint as chars, count(distinct lang) as languages from k group by source"""
+
+
+from . import predicate_queries  # noqa: E402, F401
