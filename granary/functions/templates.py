@@ -1,6 +1,7 @@
 """Chat templates as Columns over message arrays: marks around each role's content, a head, a generation prompt.
 
-``TEMPLATES`` holds shapes; heads and default system prompts that name a product or a task are parameters.
+``TEMPLATES`` holds shapes; heads, default system prompts and closing lines that name a product or a task are parameters,
+so templates that differ in these alone share a shape.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _IM_END = {r: "<|im_end|>\n" for r in ("user", "assistant", "environment")} | {"
 TEMPLATES: dict[str, Template] = {
     "concat_space": Template({"*": ""}, between=" ", end="{eos}"),
     "concat_line": Template({"*": ""}, between="\n", end="{eos}"),
+    "contents": Template({"*": ""}, {"*": "\n"}, between="\n\n"),
     "named": Template({"*": "{Role}: "}, between="\n\n", end="{eos}"),
     "assistant_only": Template({"assistant": ""}),
     "bars_closed": Template(_BARS, {r: "{eos}\n" for r in _BARS}, generation="<|assistant|>\n"),
@@ -67,13 +69,13 @@ TEMPLATES: dict[str, Template] = {
 }
 
 
-def render(messages, template: str | Template, eos: str = "</s>", prompt: bool = False, head: str | None = None, system: str | None = None) -> Column:
+def render(messages, template: str | Template, eos: str = "</s>", prompt: bool = False, head: str | None = None, system: str | None = None, generation: str | None = None) -> Column:
     """The text of a message array; ``prompt`` adds the generation prompt and no end sign.
 
-    ``head`` and ``system`` replace the template's own; the default system message stands where there is none.
+    ``head``, ``system`` and ``generation`` replace the template's own; the default system message stands where there is none.
     """
     t = TEMPLATES[template] if isinstance(template, str) else template
-    t = replace(t, head=t.head if head is None else head, system=t.system if system is None else system)
+    t = replace(t, head=t.head if head is None else head, system=t.system if system is None else system, generation=t.generation if generation is None else generation)
     m = col(messages)
     n = F.size(m)
 

@@ -24,14 +24,14 @@ FORMULAS = [
     r"math\.\w+\([^)]*\)", r"\w+\*\*[0-9]+", r"[0-9]+\s*[+\-*/]\s*[0-9]+", r"[a-zA-Z_]\w*\s*[+\-*/]\s*[a-zA-Z_]\w*", r"def\s+\w+\([^)]*\):",
     r"lambda\s+[^:]+:", r"\[[^\]]*for[^\]]*\]", r"\{[^}]*for[^}]*\}", r"\([^)]*for[^)]*\)",
 ]
-PHRASES = (
-    ["not sure", "wait no", "i think", "maybe", "probably", "yes", "no", "ok", "okay", "right", "wrong", "correct", "incorrect", "true", "false", "good", "bad", "nice", "great", "awesome", "terrible", "wow", "oh"]
-    + ["hmm", "um", "uh", "well", "so", "now", "then", "here", "there", "this", "that", "these", "those", "it", "is", "are", "was", "were", "have", "has", "had", "do", "does", "did", "will", "would", "could"]
-    + ["should", "can", "cannot", "cant", "dont", "doesnt", "isnt", "arent", "second < b", "we can use:", "we can use", "first < a", "third < c", "fourth < d"]
-    + ["a < b", "b < c", "c < d", "d < e", "e < f", "f < g", "g < h", "x < y", "y < z", "i < j", "j < k", "k < l", "l < m", "m < n"]
-    + ["n < o", "o < p", "p < q", "q < r", "r < s", "s < t", "t < u", "u < v", "v < w", "w < x"]
-    + ["return none", "return true", "return false", "return 0", "return 1", "return -1", "return null", "return undefined"]
-)
+PHRASES = [
+    "not sure", "wait no", "i think", "maybe", "probably", "yes", "no", "ok", "okay", "right", "wrong", "correct", "incorrect", "true", "false", "good", "bad", "nice",
+    "great", "awesome", "terrible", "wow", "oh", "hmm", "um", "uh", "well", "so", "now", "then", "here", "there", "this", "that", "these", "those", "it", "is", "are",
+    "was", "were", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "can", "cannot", "cant", "dont", "doesnt", "isnt", "arent",
+    "second < b", "we can use:", "we can use", "first < a", "third < c", "fourth < d", "a < b", "b < c", "c < d", "d < e", "e < f", "f < g", "g < h", "x < y", "y < z",
+    "i < j", "j < k", "k < l", "l < m", "m < n", "n < o", "o < p", "p < q", "q < r", "r < s", "s < t", "t < u", "u < v", "v < w", "w < x", "return none", "return true",
+    "return false", "return 0", "return 1", "return -1", "return null", "return undefined",
+]
 TRANSITIONS = ["alternatively,", "therefore,", "however,"]
 
 

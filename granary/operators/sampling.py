@@ -162,6 +162,12 @@ def epoch_batches(df: DataFrame, key: str, batch: int, seed: int, epoch: int = 0
     return at.join(full, "batch", "left_semi").select(key, "batch")
 
 
+def length_batches(df: DataFrame, length: str, key: str, batch: int) -> DataFrame:
+    """Rows with batch, from 0: the longest together, so that a batch needs little padding; order by key restores the rows."""
+    numbered = ranked(df, [F.desc(length), F.col(key)])
+    return numbered.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("long")).drop("rank")
+
+
 def longest_per_group(df: DataFrame, group: str, length: str, key: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(length), key))).where("_r = 1").drop("_r")
 

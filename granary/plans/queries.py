@@ -966,4 +966,4 @@ SQL["clean_mix"] = NGRAM_SQL + """, b as (select distinct original_id from s whe
 select source, count(*) as documents, sum(n_chars)::bigint as chars, count(distinct lang) as languages from k group by source"""
 
 
-from . import predicate_queries  # noqa: E402, F401
+from . import predicate_queries, sequence_queries, value_queries  # noqa: E402, F401

@@ -5,7 +5,7 @@ Every source yields a DataFrame with an explicit schema or Spark's own; rows get
 
 from __future__ import annotations
 
-from pathlib import Path
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +29,23 @@ def read(spark: SparkSession, *paths: str, schema: StructType | str | None = Non
     return reader.format(kind).load(list(paths))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def resolve(spark: SparkSession, name: str, split: str = "train", roots: tuple[str, ...] = (".",), schema=None) -> DataFrame:
     """A dataset by name: a table of the catalog, a path, or <root>/<name>/<split> with any suffix; no network."""
-    if "/" not in name and spark.catalog.tableExists(name):
+    if re.fullmatch(r"\w+(\.\w+){0,2}", name) and not re.match(r"[0-9]|\w*\.[0-9]", name) and spark.catalog.tableExists(name):
         return spark.table(name)
     if any(name.endswith(s) for s in FORMATS) or "://" in name:
         return read(spark, name, schema=schema)
     for root in roots:
-        for path in (Path(root) / name / split, *(Path(root) / name / f"{split}{s}" for s in FORMATS), Path(root) / name):
-            if path.exists():
-                return read(spark, str(path), schema=schema)
+        base = f"{root.rstrip('/')}/{name}"
+        for path in (f"{base}/{split}", *(f"{base}/{split}{s}" for s in FORMATS), base):
+            if exists(spark, path):
+                return read(spark, path, schema=schema)
     raise FileNotFoundError(f"no dataset {name} with split {split} under {', '.join(roots)}")
 
 
