@@ -1,18 +1,25 @@
 """Train/test contamination: exact phrases, n-gram coverage and vectors, with reports and removal.
 
 An index row is one text with the id of the training row it came from. Queries are rows with one or more text fields.
-Nothing is compared with everything: phrases and n-grams meet in equi-joins of hashed shingles, hot ones are spread by
-adaptive joins, and every match is exact; no number of hits is capped.
+Nothing is compared with everything: phrases and n-grams meet in equi-joins of hashed shingles. The places that meet are
+written, then fetch their text again and are compared there, so every match is exact; no number of hits is capped. The
+join's smaller side is broadcast only if the planner finds it small. Vectors of the queries, a stated set, go to the
+index in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.maths import dot, norm
-from ..functions.text import col, ngrams, rx
+from ..functions.text import col, rx
+from ..sources.sinks import materialize
 
 STANDARD, SPLITTER = r"[\p{L}\p{N}_]+", r"[^ ,.?!:;()\"\n\\-]+"
 
@@ -32,49 +39,60 @@ def index_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("original_id"), F.col(text).alias("text"))
 
 
+def _tokens(index: DataFrame, pattern: str) -> DataFrame:
+    """(original_id, _dh, _d): the tokens of each text, and a hash that tells texts apart that share an id."""
+    return index.select("original_id", F.xxhash64("text").alias("_dh"), analyse("text", pattern).alias("_d"))
+
+
+def _starts(tokens: str, n: int) -> Column:
+    """A hash of the n tokens at each place; nothing of shorter texts."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(F.slice(tokens, i + 1, n)))
+    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _met(index: DataFrame, wanted: DataFrame, n: int, pattern: str) -> DataFrame:
+    """``wanted`` (with _h, a hash of n tokens) with original_id and _d at each place _pos of the index where _h stands."""
+    places = _tokens(index, pattern).select("original_id", "_dh", F.posexplode(_starts("_d", n)).alias("_pos", "_h"))
+    hits = materialize(places.join(wanted, "_h").drop("_h"), "hits")
+    texts = index.select("original_id", "text", F.xxhash64("text").alias("_dh")).dropDuplicates(["original_id", "_dh"])
+    return hits.join(_tokens(texts.join(hits.select("original_id", "_dh").distinct(), ["original_id", "_dh"], "left_semi"), pattern), ["original_id", "_dh"])
+
+
 def exact_match(index: DataFrame, queries: DataFrame, key: str, fields: list[str], pattern: str = STANDARD) -> DataFrame:
     """(key, original_id): training rows whose tokens hold those of every field as a phrase. Null fields match nothing.
 
     Candidates share the phrase's first tokens (up to 8) with their place; the rest is compared there.
     """
     head = 8
-    docs = index.select("original_id", analyse("text", pattern).alias("_d")).where(F.size("_d") > 0).withColumn("_dh", F.xxhash64("_d"))
     out = None
     for field in fields:
         phrase = queries.where(F.col(field).isNotNull()).select(key, analyse(field, pattern).alias("_q")).where(F.size("_q") > 0)
         phrase = phrase.withColumn("_n", F.least(F.size("_q"), F.lit(head)))
         anchors = phrase.select(key, "_q", "_n", F.xxhash64(F.slice("_q", 1, F.col("_n"))).alias("_h"))
-        sizes = [r["_n"] for r in phrase.select("_n").distinct().collect()]  # at most 8 numbers
         hits = None
-        for n in sizes:
-            # places travel without their text; the few that meet a phrase's head fetch it again to be compared
-            grams = docs.where(F.size("_d") >= n).select("original_id", "_dh", F.posexplode(_starts("_d", n)).alias("_at", "_h"))
-            met = grams.join(anchors.where(F.col("_n") == n), "_h").select(key, "_q", "original_id", "_dh", "_at")
-            part = met.join(docs, ["original_id", "_dh"]).where(F.slice("_d", F.col("_at") + 1, F.size("_q")) == F.col("_q")).select(key, "original_id")
+        for n in [r["_n"] for r in phrase.select("_n").distinct().collect()]:  # at most 8 numbers
+            met = _met(index, anchors.where(F.col("_n") == n).drop("_n"), n, pattern)
+            part = met.where(F.slice("_d", F.col("_pos") + 1, F.size("_q")) == F.col("_q")).select(key, "original_id")
             hits = part if hits is None else hits.union(part)
         found = (hits if hits is not None else queries.select(key).limit(0).withColumn("original_id", F.lit(None).cast("long"))).distinct()
         out = found if out is None else out.join(found, [key, "original_id"])
     return out
 
 
-def _starts(tokens: str, n: int) -> Column:
-    last = F.size(tokens) - n
-    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, n)))
-
-
 def ngram_scores(index: DataFrame, queries: DataFrame, key: str, fields: list[str], n: int = 8, pattern: str = STANDARD, compat: bool = False) -> DataFrame:
     """(key, original_id, score): share of a query's tokens covered by n-grams that the training row has, mean over fields.
 
     ``compat``: of an n-gram that a query has twice only the last place counts. Rows that share no n-gram do not appear.
     """
-    docs = index.select("original_id", F.explode(F.array_distinct(ngrams(analyse("text", pattern), n))).alias("_g"))
     scores = None
     for field in fields:
-        q = queries.select(key, analyse(field, pattern).alias("_q")).where(F.size("_q") > 0)
-        grams = q.select(key, F.size("_q").alias("_size"), F.posexplode(ngrams(F.col("_q"), n)).alias("_at", "_g"))
+        q = queries.select(key, analyse(field, pattern).alias("_q")).where(F.size("_q") >= n)
+        runs = F.transform(F.sequence(F.lit(0), F.size("_q") - n), lambda i: F.slice("_q", i + 1, n))
+        grams = q.select(key, F.size("_q").alias("_size"), F.posexplode(runs).alias("_at", "_g"))
         if compat:
             grams = grams.groupBy(key, "_size", "_g").agg(F.max("_at").alias("_at"))
-        spots = docs.join(grams, "_g").groupBy(key, "original_id", "_size").agg(F.sort_array(F.collect_set("_at")).alias("_spots"))
+        met = _met(index, grams.withColumn("_h", F.xxhash64("_g")), n, pattern).where(F.slice("_d", F.col("_pos") + 1, n) == F.col("_g"))
+        spots = met.groupBy(key, "original_id", "_size").agg(F.sort_array(F.collect_set("_at")).alias("_spots"))
         # covered tokens: each place adds what the one before has not covered yet
         before = F.concat(F.array(F.lit(-n)), F.slice("_spots", 1, F.greatest(F.size("_spots") - 1, F.lit(0))))
         covered = F.aggregate(F.zip_with("_spots", before, lambda a, b: F.least(a - b, F.lit(n))), F.lit(0), lambda s, x: s + x)
@@ -86,21 +104,56 @@ def ngram_scores(index: DataFrame, queries: DataFrame, key: str, fields: list[st
 def vector_scores(index: DataFrame, queries: DataFrame, key: str, k: int = 5, original: str = "original_id", vector: str = "embedding", block: int = 4096, others_only: bool = False) -> DataFrame:
     """(key, original_id, score, rank): the k nearest rows to each query by the inner product of unit vectors.
 
-    Exact: the queries are a stated set and go to all rows in blocks of bounded size; tasks keep k candidates of each
-    query before anything is shuffled (the group limit below the window). ``others_only``: a query does not find the
-    row of its own id.
+    Exact: the queries are a stated set and go to all rows in blocks of about ``block`` vectors; every task keeps k
+    candidates of each query from each batch of rows. ``others_only``: a query does not find the row of its own id.
+    Vectors of zeros have no direction and score 0.
     """
-    n = queries.count()
+    spark = index.sparkSession
+    parts = max(1, -(-queries.count() // block))
+    q = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(parts)))
+    rows = index.select(F.col(original).cast("long").alias("original_id"), F.col(vector).cast("array<double>").alias("v"))
     out = None
-    q = queries.select(key, vector).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))))
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / norm(v))
-    for b in range(max(1, -(-n // block))):
-        part = F.broadcast(q.where(F.col("_b") == b).select(F.col(key), unit(F.col(vector)).alias("qv")))  # at most about `block` vectors
-        pairs = index.select(F.col(original).alias("original_id"), unit(F.col(vector)).alias("dv")).join(part, F.lit(True)).select(key, "original_id", dot("qv", "dv").alias("score"))
-        pairs = pairs.where(F.col("original_id") != F.col(key)) if others_only else pairs
-        out = pairs if out is None else out.union(pairs)
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "original_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for b in range(parts):
+        some = q.where(F.col("b") == b).collect()
+        if some:
+            shared = spark.sparkContext.broadcast((np.array([r["q"] for r in some]), _units(np.array([r["v"] for r in some]))))
+            part = rows.mapInArrow(_nearest(shared, k, others_only), "q long, original_id long, score double")
+            out = part if out is None else out.union(part)
+    if out is None:
+        out = spark.createDataFrame([], "q long, original_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "original_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("q", key)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+def _nearest(shared: Broadcast, k: int, others_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("original_id").to_numpy(zero_copy_only=False)
+            x = _units(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            scores = vectors @ x.T
+            found: tuple[list, list, list] = ([], [], [])
+            for i in range(len(ids)):
+                near = scores[i]
+                at = np.flatnonzero(own != ids[i]) if others_only else np.arange(len(own))
+                if len(at) > k:  # rounding depends on the place in a product: what is close to the last one is scored anew
+                    last = np.partition(near[at], len(at) - k)[len(at) - k]
+                    at = at[near[at] >= last - 1e-9]
+                score = (x[at] * vectors[i]).sum(axis=1)
+                best = np.lexsort((own[at], -score))[:k]
+                found[0].append(np.full(len(best), ids[i]))
+                found[1].append(own[at][best])
+                found[2].append(score[best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["q", "original_id", "score"])
+
+    return run
 
 
 def worst(scores: DataFrame) -> DataFrame:

@@ -90,10 +90,11 @@ def blocks(docs: DataFrame, key: str, ids: str, size: int, mask: str | None = No
     The remainder is dropped, and so are blocks whose mask is 0 throughout. Documents are placed by running sums over
     ranges of keys; only a block's own pieces meet in one group.
     """
-    from ..sources.sinks import chunk_boundaries
+    from ..sources.sinks import chunk_boundaries, materialize
 
-    full = docs.select(key, (F.concat(ids, F.array(F.lit(eos))) if eos is not None else F.col(ids)).alias("ids"), *([F.col(mask).alias("mask")] if mask else []))
-    at = chunk_boundaries(full.withColumn("n", F.size("ids")), key, "n", size).withColumnRenamed("start", "s").withColumnRenamed("end", "e")
+    # written, as sizes and tokens are read apart: nothing is tokenized twice
+    full = materialize(docs.select(key, (F.concat(ids, F.array(F.lit(eos))) if eos is not None else F.col(ids)).alias("ids"), *([F.col(mask).alias("mask")] if mask else [])).withColumn("n", F.size("ids")), "tokens")
+    at = chunk_boundaries(full, key, "n", size).withColumnRenamed("start", "s").withColumnRenamed("end", "e")
     order = Window.partitionBy(key).orderBy("chunk")
     taken = at.withColumn("done", F.coalesce(F.sum(F.col("e") - F.col("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cut = lambda c: F.slice(c, (F.col("done") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))
