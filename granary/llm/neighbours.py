@@ -3,10 +3,13 @@
 The trees are fitted on a bounded sample: every inner node has a random direction and the sample's median along it.
 Every row is indexed by its leaf in every tree. A query walks all trees at once through one priority queue that holds
 nodes by how far the query lies beyond their splits, and opens leaves until these hold ``probe`` times all rows
-(rows that lie in opened leaves of several trees count in each). The rows of the opened leaves are ranked exactly.
+(rows that lie in opened leaves of several trees count in each), ``least`` rows at least. The rows of the opened leaves
+are ranked exactly.
 
 Inner products of vectors of any length become angles by one more coordinate, sqrt(longest² - length²) for rows and 0
-for queries. Queries and rows meet in blocks of bounded size, so no leaf, however full, and no query is one task's.
+for queries. Queries, a stated set, and rows meet in blocks of bounded size, so no leaf, however full, and no query is
+one task's: a row travels once for each block of queries. In a block every leaf is a set of bits over the block's rows,
+so that a query's candidates are the union of the bits of its opened leaves.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ TREES = 16
 #: Rows of the sample that the trees are fitted on, at most, and of it in a leaf, about.
 SAMPLE, LEAF = 16384, 64
 #: Queries and rows of a block.
-QUERY_BLOCK, ROW_BLOCK = 1024, 16384
-#: Rows in the leaves that a query opens, counted in each tree, of all rows.
-PROBE = 2.0
+QUERY_BLOCK, ROW_BLOCK = 4096, 16384
+#: Rows in the leaves that a query opens, counted in each tree: of all rows, and at least.
+PROBE, LEAST = 1.0, 4096
+#: Queries whose products with a block's rows are held at once.
+SLICE = 64
 
 
 class Forest:
@@ -97,7 +102,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES, probe: float = PROBE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def leaf_bits(leaf: np.ndarray, leaves: int) -> np.ndarray:
+    """Packed bits over the rows for each leaf of each tree, from the leaves of each row (rows x trees)."""
+    out = np.empty((leaf.shape[1] * leaves, -(-len(leaf) // 8)), np.uint8)
+    for t in range(leaf.shape[1]):
+        member = np.zeros((leaves, len(leaf)), bool)
+        member[leaf[:, t], np.arange(len(leaf))] = True
+        out[t * leaves : (t + 1) * leaves] = np.packbits(member, axis=1)
+    return out
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES, probe: float = PROBE, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that meets ``queries``.
 
     ``queries`` reads the column vec_id. Vectors that are null, empty or all zero, hold null or non-finite components,
@@ -106,6 +121,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     ``k`` candidates are all returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    kind = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64  # as the vectors came: nothing is rounded
     rows = usable(vectors, id_col, vector_col)
     shape = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).alias("longest")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -119,7 +135,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = forest.value.leaf_of(matrix(batch.column("x")))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in matrix(batch.column("x"))], pa.binary()), pa.array([v.tobytes() for v in leaf], pa.binary())], names=["vec_id", "x", "leaf"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in matrix(batch.column("x")).astype(kind)], pa.binary()), pa.array([v.tobytes() for v in leaf], pa.binary())], names=["vec_id", "x", "leaf"])
 
     index = materialize(rows.mapInArrow(place, "vec_id long, x binary, leaf binary"), "index")
 
@@ -140,10 +156,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").to_pylist()
-            opened = [np.packbits(forest.value.search(np.frombuffer(v), counts.value, probe * n)).tobytes() for v in x]
+            opened = [np.packbits(forest.value.search(np.frombuffer(v, kind).astype(np.float64), counts.value, max(least, probe * n))).tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(x, pa.binary()), pa.array(opened, pa.binary())], names=["vec_id", "x", "opened"])
 
     asked = index.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "x")
+    asked = asked.repartition(max(1, min(1 << 14, n // 4096)), "vec_id")  # walks are long: more tasks than the bytes call for
     asked = materialize(asked.mapInArrow(walk, "vec_id long, x binary, opened binary"), "asked")
     q_blocks, r_blocks = -(-max(1, asked.count()) // QUERY_BLOCK), -(-n // ROW_BLOCK)
     block = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")
@@ -152,25 +169,30 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     right = index.withColumn("r", block(2, r_blocks)).withColumn("q", every(q_blocks))
 
     def rank(asked_: pa.Table, rows_: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if asked_.num_rows and rows_.num_rows:
             ids = rows_.column("vec_id").to_numpy()
-            x = np.frombuffer(b"".join(rows_.column("x").to_pylist())).reshape(len(ids), -1)
-            leaves = forest.value.leaves
-            leaf = np.frombuffer(b"".join(rows_.column("leaf").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.int64) + np.arange(trees) * leaves
-            for query, v, bits in zip(asked_.column("vec_id").to_pylist(), asked_.column("x").to_pylist(), asked_.column("opened").to_pylist()):
-                opened = np.unpackbits(np.frombuffer(bits, np.uint8), count=trees * leaves).astype(bool)
-                found = np.flatnonzero(opened[leaf].any(axis=1) & (ids != query))
-                v = np.frombuffer(v)
-                near = x[found] @ v
-                if len(found) > k:  # rounding depends on the place in a product: what is close to the last one is ranked anew
-                    cut = np.partition(near, len(near) - k)[len(near) - k]
-                    found = found[near >= cut - 1e-9 * max(1.0, abs(cut))]
-                score = (x[found] * v).sum(axis=1)
-                best = np.lexsort((ids[found], -score))[:k]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += ids[found][best].tolist()
-                out["score"] += score[best].tolist()
+            x = np.frombuffer(b"".join(rows_.column("x").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
+            asked_ids = asked_.column("vec_id").to_pylist()
+            wanted = np.frombuffer(b"".join(asked_.column("x").to_pylist()), kind).reshape(len(asked_ids), -1).astype(np.float64)
+            opened = asked_.column("opened").to_pylist()
+            leaf = np.frombuffer(b"".join(rows_.column("leaf").to_pylist()), np.int16).reshape(len(ids), -1)
+            members = leaf_bits(leaf, forest.value.leaves)
+            for i in range(0, len(asked_ids), SLICE):
+                products = wanted[i : i + SLICE] @ x.T
+                for j, near in enumerate(products, i):
+                    leaves = np.flatnonzero(np.unpackbits(np.frombuffer(opened[j], np.uint8), count=len(members)))
+                    bits = np.bitwise_or.reduce(members[leaves], axis=0) if len(leaves) else np.zeros(members.shape[1], np.uint8)
+                    found = np.flatnonzero(np.unpackbits(bits, count=len(ids)))
+                    found = found[ids[found] != asked_ids[j]]
+                    if len(found) > k:  # rounding depends on the place in a product: what is close to the last one is ranked anew
+                        cut = np.partition(near[found], len(found) - k)[len(found) - k]
+                        found = found[near[found] >= cut - 1e-9 * max(1.0, abs(cut))]
+                    score = (x[found] * wanted[j]).sum(axis=1)
+                    best = np.lexsort((ids[found], -score))[:k]
+                    out["query_id"] += [asked_ids[j]] * len(best)
+                    out["vec_id"] += ids[found][best].tolist()
+                    out["score"] += score[best].tolist()
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(rank, "query_id long, vec_id long, score double")
