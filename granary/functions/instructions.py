@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, clean_json, col, count_matches, is_json, rx, sentence_list, sentences, split_plain, strip, tokens, word_tokens, words
+from .text import blank, clean_json, col, count_matches, is_json, let, rx, sentence_list, sentences, split_plain, strip, tokens, word_tokens, words
 
 SIMPLE: dict[str, Callable[..., Column]] = {}
 CONSTRAINTS: dict[str, Callable[..., Column]] = {}
@@ -59,11 +59,10 @@ def half_even(x: float) -> int:
 
 def language_of(text) -> Column:
     """The language with most function words in the text; null if none has any."""
-    found = word_tokens(F.lower(col(text)))
-    known = lambda s: F.size(F.filter(found, lambda w: w.isin(s)))
-    counts = F.array(*[F.struct(known(s).alias("n"), F.lit(k).alias("k")) for k, s in _FOLDED.items()])
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["k"])
+    known = lambda found, s: F.size(F.filter(found, lambda w: w.isin(s)))
+    counts = lambda found: F.array(*[F.struct(known(found, s).alias("n"), F.lit(k).alias("k")) for k, s in _FOLDED.items()])
+    best = let(word_tokens(F.lower(col(text))), lambda found: F.array_max(counts(found)))
+    return let(best, lambda b: F.when(b["n"] > 0, b["k"]))
 
 
 _FOLDED = {k: sorted(set(v)) for k, v in STOP_WORDS.items()}
@@ -347,8 +346,9 @@ def c_forbidden(text, words_: list[str]) -> Column:
 
 @constraint("edit:rephrase_paragraph")
 def c_overlap(text, original: str, low: int, high: int) -> Column:
-    a, b = word_tokens(F.lower(F.lit(original))), word_tokens(F.lower(col(text)))
-    n = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    count = lambda words_, w: F.size(F.filter(words_, lambda x: x == w))
+    shared = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+    n = let(word_tokens(F.lower(F.lit(original))), lambda a: let(word_tokens(F.lower(col(text))), lambda b: shared(a, b)))
     return n.between(low, high)
 
 
