@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .algebra import answers_formula
 from .maths import final_answer_phrase, math_candidates, normalize_final_answer, same_answer, same_value
 from .text import (
     after_last,
@@ -56,15 +57,21 @@ def gsm8k(prediction, label, **_) -> Column:
 
 
 @verifier("math")
-def math(prediction, label, **_) -> Column:
-    return score(F.exists(math_candidates(prediction), lambda a: same_value(a, col(label))))
+def math(prediction, label, symbolic: bool = True, **_) -> Column:
+    """One of the answers that the solution may mean is the label; ``symbolic``: also as a formula of the same value."""
+    found = math_candidates(prediction)
+    plain = F.exists(found, lambda a: same_value(a, col(label)))
+    if not symbolic:
+        return score(plain)
+    return score(F.coalesce(plain, F.lit(False)) | answers_formula(prediction, label, True))
 
 
 @verifier("math-verify")
-def math_value(prediction, label, **_) -> Column:
-    """Same number or form as the boxed or last answer; symbolic algebra beyond fractions and decimals is a plug-in's task."""
+def math_value(prediction, label, symbolic: bool = True, **_) -> Column:
+    """Same number, form or (``symbolic``) formula as the boxed or last answer."""
     answer = F.coalesce(last_boxed(prediction), normalize_final_answer(final_answer_phrase(prediction)), last_number(prediction))
-    return score(same_value(answer, label))
+    plain = F.coalesce(same_value(answer, label), F.lit(False))
+    return score(plain | answers_formula(prediction, label, False) if symbolic else plain)
 
 
 @verifier("strict_math")

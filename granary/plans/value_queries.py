@@ -70,6 +70,16 @@ def instruction_scores(spark, sf):
     return rewards.instruction_scores(table(spark, sf, "orders").select("o_orderkey", words.alias("t"), label.alias("l")), "o_orderkey", "t", "l")
 
 
+@query(f"""with o as (select o_orderkey, {AB}, o_orderkey % 3 as k from orders) select o_orderkey, (a = b)::int::double as squares, case k when 0 then 1.0 else (a = b)::int::double end::double as boxed from o""")
+def symbolic_answers(spark, sf):
+    c = lambda *parts: F.concat(*[F.col(p) if p in ("a", "b") else F.lit(p) for p in parts])
+    rows = pairs(spark, sf)
+    square = c("x^2 + 2 \\cdot ", "b", "x + ", "b", "^2")
+    boxed = F.when(F.col("k") == 0, c("so \\boxed{\\frac{2 \\sqrt{3}}{", "b", "+1}}")).when(F.col("k") == 1, c("so \\boxed{\\{7, ", "a", "\\}}")).otherwise(c("so \\boxed{[", "a", ", \\infty)}"))
+    label = F.when(F.col("k") == 0, c("\\sqrt{12} \\cdot (1 + ", "b", ")^{-1}")).when(F.col("k") == 1, c("\\{", "b", ",7\\}")).otherwise(c("[", "b", ",\\infty)"))
+    return rows.select("o_orderkey", verifiers.math(c("$(x + ", "a", ")^2$"), square).alias("squares"), verifiers.math_value(boxed, label).alias("boxed"))
+
+
 @query("""with o as (select o_orderkey, (o_orderkey % 2)::double as v, case o_custkey % 3 when 0 then 0.0 when 1 then 0.5 else 1.0 end::double as f, o_orderkey % 5 < 3 as good, case when o_custkey % 4 = 0 then 'length' else 'stop' end as finish from orders)
 select o_orderkey, v + f as added, case when f = 1 then v else 0.0 end::double as gated, case when good then v + f else f end as good_only, case when finish = 'stop' then v else -1.0 end::double as stopped from o""")
 def reward_composition(spark, sf):

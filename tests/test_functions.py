@@ -150,3 +150,21 @@ def test_utilization_is_a_share(spark):
     share = utilization.flops_share(m.prefill_flops(p) + m.decode_flops(p, r), F.lit(10.0), F.lit(1.0), 1e15)
     read = utilization.bytes_share(m.decode_bytes(p, r, F.lit(1.0)), F.lit(10.0), F.lit(1.0), 3.3e12)
     assert 0 < value(spark, share) < 100 and 0 < value(spark, read) < 100
+
+
+SAME = [("x^2+2x+1", "(x+1)^2"), ("\\frac{1}{\\sqrt{2}}", "\\frac{\\sqrt{2}}{2}"), ("2\\sqrt{3}", "\\sqrt{12}"), ("\\frac12", "0.5"), ("1\\frac{1}{2}", "\\frac{3}{2}"), ("(1,2)", "(1, 2)"), ("x=5", "5"), ("\\{1,2\\}", "\\{2,1\\}"), ("1,2", "2,1"), ("\\pi r^2", "r^2\\pi"), ("\\sin^2 x+\\cos^2 x", "1"), ("1,000", "1000"), ("2^{10}", "1024"), ("y=2x+1", "y=1+2x"), ("x+y=2", "2x+2y=4"), ("1\\pm\\sqrt{2}", "1+\\sqrt{2},1-\\sqrt{2}"), ("\\log_2 8", "3"), ("5!", "120"), ("\\binom{4}{2}", "6"), ("e^{i\\pi}", "-1"), ("\\dfrac{a}{b}", "a/b"), ("[0,\\infty)", "[0, \\infty)"), ("\\left(\\frac{1}{2},3\\right)", "(0.5,3)"), ("|{-3}|", "3"), ("50\\%", "50"), ("3x\\cdot 2", "6x"), ("\\sqrt[3]{8}", "2"), ("x_1+x_2", "x_2+x_1")]
+DIFFERENT = [("x^2", "x^3"), ("(1,2)", "(2,1)"), ("\\{1,2\\}", "\\{1,3\\}"), ("x+1", "y+1"), ("[0,1]", "(0,1)"), ("2", "3"), ("", "1"), ("\\foo", "1"), ("x=5", "y=5"), ("1,2", "1,2,3"), ("1/0", "2"), ("(1,2)", "1,2,3"), ("x+y=2", "x+y=3"), ("a b c is", "d")]
+
+
+def test_formulas_are_compared_by_value(spark):
+    from pyspark.sql import functions as F
+
+    from granary.functions import algebra, verifiers
+
+    assert all(algebra.same(a, b) and algebra.same(b, a) for a, b in SAME)
+    assert not any(algebra.same(a, b) or algebra.same(b, a) for a, b in DIFFERENT)
+    assert not algebra.same("(" * 500 + "1" + ")" * 500, "2") and not algebra.same("9^{9^{9^9}}", "1") and not algebra.same(None, "1") and not algebra.same("x" * 5000, "y")
+    # the plain rules drop a name before an equals sign, whichever it is
+    rows = spark.createDataFrame([(f"so \\boxed{{{a}}}", b, True) for a, b in SAME if b] + [(f"so \\boxed{{{a}}}", b, False) for a, b in DIFFERENT if a and b and "=5" not in a] + [(None, "1", False), ("no answer", None, False)], "p string, l string, ok boolean")
+    got = rows.select("p", "l", "ok", (verifiers.math("p", "l") == 1).alias("m"), (verifiers.math_value("p", "l") == 1).alias("v"), (verifiers.math("p", "l", symbolic=False) <= verifiers.math("p", "l")).alias("more")).collect()
+    assert [tuple(r) for r in got if not (r["m"] == r["v"] == r["ok"] and r["more"])] == []
