@@ -76,6 +76,11 @@ def matches(text: Column, pattern: str, keep=None, left: bool = False) -> Column
     return F.filter(found, lambda x: keep(x["m"])) if keep else found
 
 
+def some(text: Column, hint: str, pattern: str, keep=None, left: bool = False) -> Column:
+    """``matches`` of texts that have what every match has, which is looked for first."""
+    return F.when(text.rlike(hint), matches(text, pattern, keep, left)).otherwise(F.array().cast(SPAN))
+
+
 def shape(token: Column) -> Column:
     """Runs of letters as a, of digits as 9; strings of letters and digits that change over and over by their length."""
     plain = F.regexp_replace(F.regexp_replace(token, r"[0-9]+", "9"), r"\p{L}+", "a")
@@ -94,12 +99,11 @@ def base(text: Column) -> dict[str, Column]:
     plain = lambda m: F.regexp_replace(m, r"^0+(?=.)", "")
     low = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(plain(p)) <= 3) & (F.substring(plain(p), 1, 3).cast("int") <= 255))
     digits = lambda m: F.regexp_replace(m, r"[^0-9]", "")
-    none = F.array().cast(SPAN)
     return {
-        "email": F.when(F.instr(text, "@") > 0, matches(text, EMAIL)).otherwise(none),
-        "ip": matches(text, IP, low),
-        "card": matches(text, CARD, lambda m: luhn(digits(m))),
-        "phone": F.when(F.instr(text, "+") > 0, matches(text, PHONE, lambda m: F.length(digits(m)).between(9, 15))).otherwise(none),
+        "email": some(text, "@", EMAIL),
+        "ip": some(text, r"[0-9]\.[0-9]++\.[0-9]", IP, low),
+        "card": some(text, r"[0-9](?:[\x20-]?[0-9]){12}", CARD, lambda m: luhn(digits(m))),
+        "phone": some(text, r"\+[0-9]", PHONE, lambda m: F.length(digits(m)).between(9, 15)),
     }
 
 
@@ -137,10 +141,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    found = base(text) | {"key": matches(text, KEY)}
+    found = base(text) | {"key": some(text, "[0-9a-f]{32}", KEY)}
     tagged = lambda i: lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
     kinds = F.concat(*[F.transform(found[k], tagged(i)) for i, k in enumerate(KINDS[:5])])
-    slim = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", kinds.alias("seeds"), matches(text, TOKEN, left=True).alias("tokens"))
+    slim = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", kinds.alias("seeds"), some(text, "[0-9]", TOKEN, left=True).alias("tokens"))
     slim = materialize(slim, "pii")
     trimmed = F.regexp_replace("t.m", r"^[^\p{L}0-9+@]+", "")
     core = F.regexp_replace(trimmed, r"[^\p{L}0-9]+$", "")
