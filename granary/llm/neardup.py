@@ -243,8 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Sets of ``width``-word shingles (A-Z in lower case); links at 100 * intersection >= percent * union, confirmed on
     full sets; component_id is the smallest id that links reach. Null or wordless texts: no shingles, own component.
-    Rows with a null id are linked with nothing: component null, kept. Rows that share an id are one node, with the links
-    of all their texts, and count their own shingles. Repeated rows and empty tables are allowed; other columns
+    Rows with a null id are linked with nothing: component null, kept. Rows with words that share an id are one node, with
+    the links of all their texts, and count their own shingles. Repeated rows and empty tables are allowed; other columns
     are ignored. With the default 40 bands of 5 registers, a pair meets in no bucket with a probability of 1e-7 at a
     similarity of 0.8 and of 7e-11 at 0.85.
     """
@@ -259,29 +259,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     stars = met.where("cid <> centre").groupBy(F.col("centre").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("times"))
     stars = materialize(plausible(stars, classes, percent / 100).join(stars, ["a", "b"]).distinct(), "stars")
     best = stars.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    same_set = linked.select("digest", F.col("doc_id").alias("b")).join(classes.select("digest", F.col("rep").alias("a")), "digest").where("a <> b").select("a", "b").distinct()
     ids = met.select("cid").distinct()
     sets = materialize(full_sets(docs, classes.join(ids, "cid").select("cid", "rep", "th"), width, id_col, text_col), "sets")
     done = materialize(confirm(best, sets, percent), "links")
-    labels = _labels(done)
-    rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
+    rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), _hops(done))
     links = materialize(confirm(rest, sets, percent).unionByName(done), "links")
-    labels = _labels(links)
-    here = met.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).select("band", "key", "cid", "label")
+    labels = materialize(connected_components(links), "labels")
+    named = classes.select("cid", "rep", "n", "digest").join(labels.toDF("cid", "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+    named = materialize(named, "named")
+    here = met.select("band", "key", "cid").join(named.select("cid", "label", "n"), "cid")
     mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("hi")
-    apart = here.join(mixed, ["band", "key"]).select("lo", "cid", "label").distinct()
-    apart = materialize(apart.join(classes.select("cid", "n"), "cid"), "apart")
-    links = links.unionByName(across(apart, sets, percent))
-    names = classes.select("cid", "rep")
-    links = links.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    final = connected_components(links.unionByName(same_set))
-    out = rows_.select("doc_id", "n").join(final, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
+    apart = materialize(here.join(mixed, ["band", "key"]).select("lo", "cid", "label", "n").distinct(), "apart")
+    # what is left to join are labels: by links across them, and by ids that have texts of several
+    found, of = across(apart, sets, percent), named.select("cid", "label")
+    found = found.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    texts = linked.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    several = linked.join(texts, "doc_id").join(named.select("digest", "label"), "digest").select("doc_id", "label").distinct()
+    least = several.groupBy("doc_id").agg(F.min("label").alias("a"))
+    more = materialize(found.unionByName(several.join(least, "doc_id").select("a", F.col("label").alias("b"))).where("a <> b").distinct(), "more")
+    if not more.isEmpty():
+        joined = connected_components(more).toDF("label", "to")
+        named = named.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    final = materialize(named.select("digest", "label").join(least, "label").select("digest", "component_id"), "final")
+    out = rows_.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(final, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return materialize(connected_components(links), "labels")
+def _hops(links: DataFrame) -> DataFrame:
+    """(node, component): the centre that a member is linked to, or the one that this one is linked to; a part of the whole."""
+    one = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    two = one.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return one.join(two, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
