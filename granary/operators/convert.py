@@ -257,12 +257,18 @@ def enumerate_categories(questions: DataFrame, categories: DataFrame, n: int, nu
     return low.join(categories, "i").drop("i")
 
 
-def persona_prompts(personas: DataFrame, templates: DataFrame, persona: str = "persona", template: str = "template") -> DataFrame:
-    """Every template (a short list) filled with every persona."""
-    rows = [r[0] for r in templates.select(template).limit(1001).collect()]
-    if len(rows) > 1000:
-        raise ValueError("templates are a short list")
-    return personas.withColumn(template, F.explode(F.array(*[F.lit(r) for r in rows]))).withColumn("prompt", F.replace(F.col(template), F.lit("{persona}"), F.col(persona)))
+def persona_prompts(personas: DataFrame, templates: DataFrame, persona: str = "persona", template: str = "template", block: int = 1000) -> DataFrame:
+    """Every template filled with every persona, which is the feature; templates go to the personas in blocks."""
+    kept = templates.select(template)
+    parts = max(1, -(-kept.count() // block))
+    part = F.pmod(F.xxhash64(template), F.lit(parts))
+    out = None
+    for b in range(parts):
+        rows = [r[0] for r in kept.where(F.coalesce(part, F.lit(0)) == b).collect()]  # about ``block`` texts
+        if rows:
+            one = personas.withColumn(template, F.explode(F.array(*[F.lit(r) for r in rows]))).withColumn("prompt", F.replace(F.col(template), F.lit("{persona}"), F.col(persona)))
+            out = one if out is None else out.unionByName(one)
+    return personas.limit(0).withColumn(template, F.lit("")).withColumn("prompt", F.lit("")) if out is None else out
 
 
 def explode_completions(df: DataFrame, messages: str = "messages", completions: str = "completions", reference: str | None = None) -> DataFrame:

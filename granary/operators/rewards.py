@@ -87,22 +87,27 @@ def accepted_tests(df: DataFrame, tests: str, results: str, share: float = 0.8)
     return df.where((n > 0) & (good >= share * n)).withColumn(tests, passed)
 
 
-def instruction_scores(df: DataFrame, key: str, text: str, label: str, most: int = 2000) -> DataFrame:
+def instruction_scores(df: DataFrame, key: str, text: str, label: str, most: int = 500) -> DataFrame:
     """(key, score): share of a row's constraints that its text meets; 0 without any, unknown names count as not met.
 
     ``label`` is JSON: {"instruction_id": [names], "kwargs": [{...} or null]}, or a list with one such object. Predicates
-    are Columns with fixed parameters, so the distinct constraints, ``most`` at most, are planned one by one.
+    are Columns with fixed parameters, so the distinct constraints are planned one by one, in passes of about ``most``.
     """
     kind = "struct<instruction_id:array<string>,kwargs:array<string>>"
     listed = F.trim(F.col(label)).startswith("[")
     parsed = F.when(listed, F.try_element_at(F.from_json(label, f"array<{kind}>"), F.lit(1))).otherwise(F.from_json(label, kind))
     pairs = df.select(key, F.col(text).alias("_t"), parsed.alias("_p")).select(key, "_t", F.explode_outer(F.arrays_zip(F.col("_p.instruction_id").alias("i"), F.col("_p.kwargs").alias("k"))).alias("_x"))
     rows = pairs.select(key, "_t", F.col("_x.i").alias("_i"), F.coalesce("_x.k", F.lit("{}")).alias("_k"))
-    specs = rows.where("_i is not null").select("_i", "_k").distinct().limit(most + 1).collect()
-    if len(specs) > most:
-        raise ValueError(f"more than {most} distinct constraints")
-    met = F.lit(False)
-    for s in specs:
-        if s["_i"] in CONSTRAINTS:
-            met = F.when((F.col("_i") == s["_i"]) & (F.col("_k") == s["_k"]), check("_t", s["_i"], json.loads(s["_k"]) or {})).otherwise(met)
-    return rows.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("_i").isNotNull(), met.cast("double"))), F.lit(0.0)).alias("score"))
+    specs = rows.where("_i is not null").select("_i", "_k").distinct()
+    parts = max(1, -(-specs.count() // most))
+    part = F.pmod(F.xxhash64("_i", "_k"), F.lit(parts))
+    scored = None
+    for b in range(parts):
+        here = rows.where(F.coalesce(part, F.lit(0)) == b) if parts > 1 else rows
+        met = F.lit(False)
+        for s in specs.where(part == b).collect():  # about ``most`` constraints
+            if s["_i"] in CONSTRAINTS:
+                met = F.when((F.col("_i") == s["_i"]) & (F.col("_k") == s["_k"]), check("_t", s["_i"], json.loads(s["_k"]) or {})).otherwise(met)
+        one = here.select(key, F.when(F.col("_i").isNotNull(), met.cast("double")).alias("_m"))
+        scored = one if scored is None else scored.unionByName(one)
+    return scored.groupBy(key).agg(F.coalesce(F.avg("_m"), F.lit(0.0)).alias("score"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import templates, text
-from ..operators import convert, joins, packing
+from ..operators import convert, joins, packing, sampling
 from ..sources import readers, sinks
 from ..streaming import rollouts
 from . import registry
@@ -154,6 +154,31 @@ def advantage_estimates(spark, sf):
     return out.select("user_id", F.col("i").cast("long").alias("i"), rounded(F.col("x.advantages"), 3).alias("advantage"), rounded(F.col("x.returns"), 3).alias("total"))
 
 
+#: Tokens of a message with its marks, as the engine's own tokenizer counts them.
+MARKED = COUNT.replace("(text,", "('<|' || role || '|>' || chr(10) || text || chr(10),")
+
+SQL["sequence_packs"] = f"""with recursive t as (select *, row_number() over (partition by conv_id order by turn) as m, count(*) over (partition by conv_id) as n, {MARKED} as marked, {COUNT} as plain from conversations),
+c as (select conv_id, coalesce(sum(marked) filter (not (n > 1 and m = n and role = 'assistant')), 0)::bigint + coalesce(arg_max(plain, turn) filter (role = 'assistant'), 0) as n from t group by 1),
+x as (select conv_id // 64 as shard, row_number() over (partition by conv_id // 64 order by conv_id) as i, n from c), p as (select shard, i, (n > 2048)::int as pack, n as used from x where i = 1
+union all select x.shard, x.i, p.pack + (p.used + x.n > 2048)::int, case when p.used + x.n > 2048 then x.n else p.used + x.n end from p join x on x.shard = p.shard and x.i = p.i + 1)
+select shard, pack, sum(x.n)::int as n_tokens, count(*)::int as n_sequences from p join x using (shard, i) group by 1, 2 union all select shard, 0, 0, 0 from x where i = 1 and n > 2048"""
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then '5 0 0 0' when 1 then '5 7 0 0' else '5 7 9 0' end as padded, case o_orderkey % 3 when 0 then '5' when 1 then '5 7' else '5 7 9' end as bare, case o_orderkey % 3 when 2 then '5 7 -1' else case o_orderkey % 3 when 0 then '5' else '5 7' end end as stopped,
+case o_orderkey % 3 when 0 then 'user:5' when 1 then 'user:5 assistant:7' else 'user:5 assistant:7' end as turns from orders""")
+def array_shapes(spark, sf):
+    ids = F.slice(F.array(F.lit(5), F.lit(7), F.lit(9)), 1, (F.col("o_orderkey") % 3 + 1).cast("int"))
+    strings = F.transform(F.when(F.size(ids) == 1, F.array(F.lit(5), F.lit(6))).otherwise(ids), lambda x: x.cast("string"))
+    turns = F.array_join(F.transform(convert.alternating(strings), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), " ")
+    shown = F.when(F.size(ids) == 1, F.substring_index(turns, " ", 1)).otherwise(turns)
+    return table(spark, sf, "orders").select("o_orderkey", joined(packing.pad(ids, 4)).alias("padded"), joined(packing.without_padding(packing.pad(ids, 4))).alias("bare"), joined(packing.until_stop(ids, 7, -1)).alias("stopped"), shown.alias("turns"))
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def shuffled_rows(spark, sf):
+    return sampling.shuffled(table(spark, sf, "nation"), "n_nationkey", seed=3)
+
+
 # templates
 
 
@@ -226,6 +251,22 @@ def csv_records(spark, sf):
     return readers.read(spark, path, schema="n_nationkey int, n_name string, n_regionkey int")
 
 
+@query("""select n_nationkey::varchar as id, n_name as name, case when n_regionkey = 2 then null else n_regionkey::varchar end as region from nation""")
+def workbook_rows(spark, sf):
+    path = sinks.shared_path(spark, "nations.xlsx")
+    rows = table(spark, sf, "nation").selectExpr("n_nationkey as id", "n_name as name", "case when n_regionkey <> 2 then n_regionkey end as region")
+    sinks.write_workbook(rows, path)  # 25 rows
+    return readers.read_workbook(spark, path)
+
+
+@query("select n_nationkey, n_name from nation")
+def database_rows(spark, sf):
+    """The database is in memory, so this runs in a local session only; any other URL goes the same way."""
+    url = "jdbc:derby:memory:granary;create=true"
+    table(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1).write.mode("overwrite").jdbc(url, "nations")
+    return readers.read_database(spark, url, "nations").toDF("n_nationkey", "n_name")
+
+
 @query("select * from nation")
 def resolved_dataset(spark, sf):
     at = PurePosixPath(sf)

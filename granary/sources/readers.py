@@ -5,8 +5,13 @@ Every source yields a DataFrame with an explicit schema or Spark's own; rows get
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -82,6 +87,51 @@ def tag_files(spark: SparkSession, tags: dict[str, str], column: str = "dataset"
     return out
 
 
+_MAIN, _REL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _cells(raw: bytes, sheet: str | None) -> list[list[str | None]]:
+    """The rows of one sheet of a workbook (an archive of XML parts), the first one by default; cells as text."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = {s.get("name"): targets[s.get(_REL)] for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")}
+        part = sheets[sheet] if sheet else next(iter(sheets.values()))
+        root = ElementTree.fromstring(z.read(part.lstrip("/") if part.startswith("/") else f"xl/{part}"))
+    out = []
+    for row in root.iter(f"{_MAIN}row"):
+        line: list[str | None] = []
+        for cell in row.iter(f"{_MAIN}c"):
+            at = 0
+            for letter in re.match("[A-Z]*", cell.get("r") or "")[0]:
+                at = at * 26 + ord(letter) - 64
+            line += [None] * (at - 1 - len(line))
+            value = cell.find(f"{_MAIN}v")
+            text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) if cell.get("t") == "inlineStr" else None if value is None else value.text
+            line.append(shared[int(text)] if cell.get("t") == "s" and text is not None else text)
+        out.append(line)
+    return out
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Rows of one sheet of spreadsheet workbooks as text, named by the first line; missing cells are null.
+
+    A workbook is parsed by one task; a folder of them by several. All must have the first one's columns.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    header = next(iter(_cells(files.first()["content"], sheet)), [])
+    names = [h or f"column_{i}" for i, h in enumerate(header)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                rows = [(line + [None] * len(names))[: len(names)] for line in _cells(raw, sheet)[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=names)
+
+    return files.mapInArrow(run, StructType([StructField(n, StringType()) for n in names]))
+
+
 def read_database(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     """A database table or query over JDBC; the driver's jar must be on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -459,3 +459,16 @@ def test_stream_of_rollouts(spark, tmp_path):
     q = out.writeStream.outputMode("update").format("memory").queryName("solved").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {r["prompt"]: r["excluded"] for r in spark.table("solved").collect()} == {"p": False, "q": True}
+
+
+def test_blocks_of_templates_and_constraints(spark):
+    people = spark.createDataFrame([(1, "a cook"), (2, "a judge")], "id long, persona string")
+    texts = spark.createDataFrame([(f"as {{persona}}, write {i}",) for i in range(7)] + [(None,)], "template string")
+    got = convert.persona_prompts(people, texts, block=2).collect()
+    assert sorted(r["prompt"] or "" for r in got) == sorted([f"as {p}, write {i}" for p in ("a cook", "a judge") for i in range(7)] + ["", ""])
+    assert convert.persona_prompts(people, texts.limit(0)).count() == 0
+    label = lambda n: f'{{"instruction_id": ["length_constraints:number_words", "nothing:known"], "kwargs": [{{"relation": "at least", "num_words": {n}}}, null]}}'
+    rows = spark.createDataFrame([(n, "one two three", label(n)) for n in range(1, 8)] + [(9, "x", None)], "k long, t string, l string")
+    for most in (1, 3, 500):
+        got = {r["k"]: r["score"] for r in rewards.instruction_scores(rows, "k", "t", "l", most).collect()}
+        assert got == {n: 0.5 if n <= 3 else 0.0 for n in range(1, 8)} | {9: 0.0}
