@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(x, pa.binary()), pa.array(opened, pa.binary())], names=["vec_id", "x", "opened"])
 
     asked = index.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "x")
-    asked = asked.repartition(max(1, min(1 << 14, n // 4096)), "vec_id")  # walks are long: more tasks than the bytes call for
+    asked = asked.repartition(max(1, min(1 << 14, n // 2048)), F.xxhash64("vec_id"))  # walks are long: more tasks than the bytes call for
     asked = materialize(asked.mapInArrow(walk, "vec_id long, x binary, opened binary"), "asked")
     q_blocks, r_blocks = -(-max(1, asked.count()) // QUERY_BLOCK), -(-n // ROW_BLOCK)
     block = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")

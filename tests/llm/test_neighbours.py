@@ -40,3 +40,10 @@ def test_few_candidates_and_none(spark):
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 0][:1] == [(0, 1)] and all(r["vec_id"] != r["query_id"] for r in got)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(100, [1.0, 2.0]), (120, [1.0] * 4), (140, []), (160, None)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {r["query_id"] for r in got} == {0, 20, 40} and {r["vec_id"] for r in got} <= set(range(60))
+    assert all(sum(r["query_id"] == q for r in got) == 20 for q in (0, 20, 40))

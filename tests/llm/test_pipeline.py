@@ -3,7 +3,7 @@ import random
 from plain import components, words
 
 import corpus_pipeline
-from granary.llm import language, queries
+from granary.llm import language, mixing, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,6 +52,28 @@ def test_odd_rows_pass_the_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_columns_with_clashing_names_and_repeated_rows(spark, tmp_path):
+    """Extra columns named as a stage's own pass through; of rows alike the mixture takes what it takes of their sum."""
+    rng = random.Random(5)
+    rows = [(i % 25, words(rng, 30), "en", f"s{i % 3}", 1, 7, 8, 9, "x") for i in range(50)] + [(99, "same words here", "en", "s0", 1, 7, 8, 9, "x")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, a long, b int, n long, _row string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    mixed = corpus_pipeline.mix(spark, df, str(tmp_path))
+    per_row = mixing.mix_documents(df, queries.quality(spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    assert mixed.columns == df.columns and mixed.count() == per_row.agg({"copies": "sum"}).first()[0]
+    got, want = {}, {}
+    for r in mixed.collect():
+        assert (r["a"], r["b"], r["n"], r["_row"]) == (7, 8, 9, "x")
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    for r in per_row.where("copies > 0").collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+    assert got == want
+    once = corpus_pipeline.near_dedup(spark, df, str(tmp_path))
+    assert once.columns == df.columns and once.where("doc_id = 99").count() == 1
+    assert corpus_pipeline.decontaminate(spark, df, str(tmp_path)).count() == len(rows)
+
+
 def test_contracts_of_the_queries(spark):
     want = {
         "op2": {"doc_id", "held_out", "lang_pred", "score"}, "op3": {"page_id", "url", "text", "n_chars"}, "op4": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},

@@ -1,4 +1,5 @@
 import html
+import math
 import random
 import re
 import time
@@ -120,6 +121,37 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_language(text, model):
+    """(language, score) by the definition, byte by byte."""
+    raw = (text or "").encode()
+    if not any(ch.isalpha() for ch in text or ""):
+        return "und", 0.0
+    x = [b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 0x80 else 0 for b in raw]
+    for i in range(1, len(raw)):
+        if raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E and raw[i] != 0x97:
+            x[i] += 0x20
+    margins, n = [0.0] * model.code.shape[1], 0
+    for a, b, c in zip(x, x[1:], x[2:]):
+        if b and (a or c):
+            f = ((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 16
+            margins = [m + float(w) for m, w in zip(margins, model.weights[f])]
+            n += 1
+    margins = [m / math.sqrt(max(n, 1)) for m in margins]
+    loss = [sum(float(w) * math.log1p(math.exp(-m if bit else m)) for m, bit, w in zip(margins, word, model.bits)) for word in model.code]
+    shares = [math.exp(min(loss) - v) for v in loss]
+    return model.languages[loss.index(min(loss))], max(shares) / sum(shares)
+
+
+def test_predictions_against_plain_decoding(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs, ~language.held_out())
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(1000, None), (1001, ""), (1002, "12 !?"), (1003, "Ünd ÀÉ"), (1004, "a"), (1005, "ab"), (1006, "the " * 3000)]
+    got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        lang, score = plain_language(t, model)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, (i, t)
+
+
 def test_codes_correct_errors():
     for n in (2, 4, 9, 40):
         code = language.codewords(n)
