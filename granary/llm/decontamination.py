@@ -146,6 +146,15 @@ class Passages:
                     shift = int(ends[i])
                     yield r + i, rest[0], rest[1] + shift, rest[2] + shift
             return
+        over = int(self.length.max() + 2 * self.edit.max()) + self.q
+        if times.sum() > MOST_HITS and int(ends[row[0] + 1] - ends[row[0]]) > 4 * over:  # a long row: in parts that share a passage's room
+            r = int(row[0])
+            start, end = int(ends[r]), int(ends[r + 1])
+            middle = (start + end) // 2
+            for s, t in ((start, middle + over), (middle, end)):
+                for _, p, low, high in self.regions(x[s:t], np.array([0, t - s])):
+                    yield r, p, low + s, high + s
+            return
         entry = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         hit, row = np.repeat(hit, times), np.repeat(row, times)
         passage, at = self.owner[entry], self.at[entry]
@@ -266,6 +275,8 @@ def leaks(passages: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int,
                     yield i + row, item, 0, int(place[cut[row]]) - origin, int(place[cut[row] + n - 1]) + 1 - origin
         best: dict[tuple[int, int], tuple] = {}
         for row, p, low, high in passages.regions(x, cut) if passages.ids else ():
+            if (row, p) in best and best[row, p][0] == 0:
+                continue
             e, pattern = passages.edits[p], passages.texts[p]
             a, b = int(cut[row]), int(cut[row + 1])
             got = None
@@ -276,7 +287,7 @@ def leaks(passages: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int,
                     got = got[0], s + got[1], s + got[2]
                 else:
                     got = None
-            elif (row, p) not in best:
+            else:
                 for s in range(low, high + 1):  # the places of a band without edits
                     t = s + len(pattern)
                     if a <= s and t <= b and (s == a or x[s - 1] == 32) and (t == b or x[t] == 32) and (x[s:t] == pattern).all():

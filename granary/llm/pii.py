@@ -125,7 +125,8 @@ def discover(tokens: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, sure:
     for _ in range(rounds):
         patterns = scored.groupBy("left", "shape").agg(F.sum(F.col("n") * F.col("belief")).alias("good"), F.sum("n").alias("all"), F.sum("seed").alias("seeds"))
         patterns = patterns.where(F.col("seeds") >= seeds).select("left", "shape", (F.col("good") / (F.col("all") + 1)).alias("conf"))
-        doubt = edges.join(patterns, ["left", "shape"], "left").withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+        # written, so that the planner knows how few they are and hot contexts need not meet in one task
+        doubt = edges.join(materialize(patterns, "patterns"), ["left", "shape"], "left").withColumn("conf", F.coalesce("conf", F.lit(0.0)))
         instances = doubt.groupBy("core").agg(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999)))).alias("log")).select("core", (1 - F.exp("log")).alias("score"))
         scored = doubt.join(instances, "core").withColumn("belief", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("score")))
         scored = materialize(scored.select("left", "shape", "core", "n", "seed", "conf", "belief"), "scores")

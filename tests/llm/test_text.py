@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from plain import SCHEMA, WORD, corpus, mixture_targets, personal, words
 from pyspark.sql import functions as F
@@ -94,6 +95,18 @@ def test_leaks_against_plain_alignment(spark):
         assert best_distance(p, part) == r["distance"] and len(part) <= len(p) + r["distance"]
 
 
+def test_one_long_row_of_one_sign(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_HITS", 5_000)
+    rng = random.Random(2)
+    leak = words(rng, 25)
+    passages = decontamination.Passages([(1, "a" * 60), (2, leak), (3, "ab " * 30), (4, "b" * 70)], decontamination.Q, decontamination.RATE)
+    texts = ["a" * 60_000 + " " + leak + " " + "c" * 500, "ab " * 20_000, "x" * 100, "a" * 59 + " " + leak[:-3]]
+    got = list(decontamination.leaks(passages, pa.array(texts)))
+    assert {(r, p, d) for r, p, d, *_ in got} == {(0, 1, 0), (0, 2, 0), (1, 3, 0), (3, 1, 1), (3, 2, 3)}
+    r = next(x for x in got if x[:2] == (0, 2))
+    assert texts[0][r[3] : r[4]] == leak
+
+
 def test_passages_go_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 300)
     rng = random.Random(8)
