@@ -49,6 +49,7 @@ SPECS: dict[str, list[tuple[str, str]]] = {
     "prompt_response": [("user", "{prompt}"), ("assistant", "{response}")],
     "problem_solution": [("user", "{problem}"), ("assistant", "{solution}")],
     "question_solution": [("user", "{question}"), ("assistant", "{generated_solution}")],
+    "input_output": [("user", "{input}"), ("assistant", "{output}")],
 }
 
 #: Role names of other schemas.
@@ -197,9 +198,67 @@ def quoted_pairs(df: DataFrame, question: str, quotes: tuple[str, str], answers:
     return df.where(a != b).select("*", F.when(a > b, side(0)).otherwise(side(1)).alias("chosen"), F.when(a > b, side(1)).otherwise(side(0)).alias("rejected"), F.abs(a - b).alias("margin"))
 
 
+def instruction_prompt(instruction: Column | str, given: Column | str, key: Column | str | None = None, with_input: list[tuple[str, float]] = (), without_input: list[tuple[str, float]] = (), seed: int = 1) -> Column:
+    """The prompt of an instruction and its input, both stripped, parted and ended by an empty line; without a blank input.
+
+    With templates, (text with {instruction} and {input}, weight), one is chosen by a stable hash of the key.
+    """
+    i, x = strip(col(instruction)), strip(F.coalesce(col(given).cast("string"), F.lit("")))
+
+    def chosen(templates: list[tuple[str, float]], plain: Column) -> Column:
+        if not templates:
+            return plain
+        total, upto, out = sum(w for _, w in templates), 0.0, None
+        at = F.pmod(F.xxhash64(F.lit(seed), col(key)), F.lit(1 << 20)) / float(1 << 20)
+        for text, weight in templates:
+            upto += weight / total
+            filled = F.replace(F.replace(F.lit(text), F.lit("{instruction}"), i), F.lit("{input}"), x)
+            out = F.when(at < upto, filled) if out is None else out.when(at < upto, filled)
+        return out.otherwise(filled)
+
+    end = F.lit("\n\n")
+    return F.when(x != "", chosen(with_input, F.concat(i, end, x, end))).otherwise(chosen(without_input, F.concat(i, end)))
+
+
+def shown_examples(instruction: Column | str, examples: Column | str, given: Column | str) -> Column:
+    """An instruction, worked examples (an array of input and output), and the input to answer."""
+    one = lambda e: F.concat(F.lit("Input:\n"), strip(e["input"]), F.lit("\nOutput:\n"), strip(e["output"]), F.lit("\n\n"))
+    return F.concat(strip(col(instruction)), F.lit("\n\n"), F.array_join(F.transform(col(examples), one), ""), F.lit("Input:\n"), strip(col(given)), F.lit("\nOutput:\n"))
+
+
+def open_prompt(prompt: Column | str) -> Column:
+    """A line feed after a prompt that ends neither with one nor with a colon."""
+    p = col(prompt)
+    return F.when(F.endswith(p, F.lit("\n")) | F.endswith(F.regexp_replace(p, r"(?U)\s+$", ""), F.lit(":")), p).otherwise(F.concat(p, F.lit("\n")))
+
+
+def marked_rounds(text: Column | str, user: str = "[|Human|]", assistant: str = "[|AI|]") -> Column:
+    """Messages of rounds behind a mark of the user's, each with one of the assistant's; what stands before the first one goes."""
+    parts = split_plain(text, user)
+    rounds = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda r: F.contains(r, F.lit(assistant)))
+    both = lambda r: split_plain(r, assistant)
+    return F.flatten(F.transform(rounds, lambda r: turns(("user", strip(both(r)[0])), ("assistant", strip(F.try_element_at(both(r), F.lit(2)))))))
+
+
+def without_roles(df: DataFrame, turns_: str, roles: list[str], role_field: str = "from") -> DataFrame:
+    """Conversations of some turns, none of them in these roles."""
+    return df.where(F.coalesce((F.size(turns_) > 0) & ~F.exists(turns_, lambda t: t[role_field].isin(*roles)), F.lit(False)))
+
+
+def code_solution(output: Column | str, none: str = "NO SOLUTION") -> Column:
+    """The last fenced block of a program's kind, stripped."""
+    return F.coalesce(strip(F.try_element_at(F.regexp_extract_all(col(output), F.lit("(?s)```(?:python)?(.*?)```"), F.lit(1)), F.lit(-1))), F.lit(none))
+
+
 # verifiable prompts
 
 
+def long_form_answers(df: DataFrame, question: str, annotations: str, dataset: str, field: str = "long_answer") -> DataFrame:
+    """Questions with the first annotation's long answer as their label."""
+    first = F.try_element_at(F.col(annotations), F.lit(1))[field]
+    return df.withColumn("messages", turns(("user", F.col(question)))).withColumn("ground_truth", first).withColumn("dataset", F.lit(dataset))
+
+
 def split_rationale(df: DataFrame, question: str = "question", answer: str = "answer", mark: str = "####") -> DataFrame:
     """Word problems whose answer stands behind a mark."""
     parts = split_plain(answer, mark)

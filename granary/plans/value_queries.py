@@ -170,6 +170,27 @@ def two_user_transcripts(spark, sf):
     return chats(spark, sf).select("conv_id", convert.transcript("messages", "User A", "User B").alias("talk"))
 
 
+@query("""with p as (select *, case p_partkey % 3 when 0 then '  ' when 1 then ' in ' || p_type || ' ' else null end as given from part) select p_partkey, case when p_partkey % 3 = 1 then p_name || chr(10) || chr(10) || 'in ' || p_type || chr(10) || chr(10) else p_name || chr(10) || chr(10) end as prompt,
+case when p_partkey % 3 = 1 then 'Do: ' || p_name || '; with: in ' || p_type else 'Just: ' || p_name end as templated, p_name || chr(10) || chr(10) || 'Input:' || chr(10) || p_brand || chr(10) || 'Output:' || chr(10) || p_type || chr(10) || chr(10) || 'Input:' || chr(10) || p_size || chr(10) || 'Output:' || chr(10) as shots,
+case p_partkey % 3 when 0 then p_name || ': ' when 1 then p_name || chr(10) else p_name || chr(10) end as opened, 'user: ' || p_name || chr(10) || 'assistant: ' || p_brand || chr(10) || 'user: ' || p_type || chr(10) || 'assistant: ok' as rounds, case when p_partkey % 3 = 0 then 'NO SOLUTION' else 'print(' || p_size || ')' end as code,
+case when p_partkey % 3 = 2 then null else 'long ' || p_name end as label, p_partkey % 4 > 1 as kept from p""")
+def corpus_shapes(spark, sf):
+    rows = table(spark, sf, "part").withColumn("given", F.expr("case p_partkey % 3 when 0 then '  ' when 1 then ' in ' || p_type || ' ' end"))
+    shots = convert.shown_examples("p_name", F.array(F.struct(F.col("p_brand").alias("input"), F.concat(F.lit(" "), "p_type").alias("output"))), F.col("p_size").cast("string"))
+    opened = convert.open_prompt(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ": ").when(F.col("p_partkey") % 3 == 1, "\n").otherwise("")))
+    talk = F.concat(F.lit("The talk. [|Human|] "), "p_name", F.lit(" [|AI|]"), "p_brand", F.lit("[|Human|] [|Human|]"), "p_type", F.lit("\n[|AI|] ok [|Human|]"))
+    code = F.when(F.col("p_partkey") % 3 == 0, "none").otherwise(F.concat(F.lit("```python\nold()\n``` then ```\nprint("), "p_size", F.lit(")\n```")))
+    notes = F.when(F.col("p_partkey") % 3 == 2, F.array().cast("array<struct<long_answer:string>>")).otherwise(F.array(F.struct(F.concat(F.lit("long "), "p_name").alias("long_answer"))))
+    said = F.array(F.struct(F.when(F.col("p_partkey") % 4 == 0, "system").when(F.col("p_partkey") % 4 == 1, "bing").otherwise("human").alias("from"), F.col("p_name").alias("value")))
+    labelled = convert.long_form_answers(rows.withColumn("notes", notes).withColumn("said", said), "p_name", "notes", "search")
+    kept = convert.without_roles(labelled, "said", ["system", "bing"]).select("p_partkey", F.lit(True).alias("kept"))
+    shapes = labelled.select(
+        "p_partkey", convert.instruction_prompt("p_name", "given").alias("prompt"), convert.instruction_prompt("p_name", "given", "p_partkey", [("Do: {instruction}; with: {input}", 1.0)], [("Just: {instruction}", 0.5)]).alias("templated"),
+        shots.alias("shots"), opened.alias("opened"), convert.flatten_prompt(convert.marked_rounds(talk)).alias("rounds"), convert.code_solution(code).alias("code"), F.col("ground_truth").alias("label"),
+    )
+    return shapes.join(kept, "p_partkey", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 # filters
 
 _NAMES = "'" + "|".join(k.lower().replace(".", "\\.") for k in filters.KEYWORDS) + "'"
