@@ -122,6 +122,22 @@ def repetition_report(flags: DataFrame, docs: DataFrame, key: str = "doc_id", so
 
 
 def ngram_repetition(docs: DataFrame, n: int = 3, least: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ngram, occurrences, positions) of n-grams of lower-case words that a text has ``least`` times."""
-    grams = docs.select(key, F.posexplode(ngrams(words(F.lower(F.col(text))), n)).alias("pos", "ngram"))
+    """(key, ngram, occurrences, positions) of n-grams of lower-case words that a text has ``least`` times.
+
+    Places whose n-gram stands at another place of the text too are found within the row, by sorted hashes; only these
+    are exploded and compared as text.
+    """
+    tokens = words(F.lower(F.col(text)))
+    if least > 1:
+
+        def twice(t: Column) -> Column:
+            places = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(F.xxhash64(F.slice(t, i + 1, n)).alias("h"), i.alias("pos")))
+            alike = lambda s, i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
+            found = let(F.sort_array(places), lambda s: F.filter(s, lambda x, i: alike(s, i, i - 1) | alike(s, i, i + 1)))
+            return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.array_join(F.slice(t, x["pos"] + 1, n), " ").alias("ngram")))
+
+        some = let(tokens, lambda t: F.when(F.size(t) > n, twice(t)))
+        grams = docs.select(key, F.explode(some).alias("x")).select(key, "x.pos", "x.ngram")
+    else:
+        grams = docs.select(key, F.posexplode(ngrams(tokens, n)).alias("pos", "ngram"))
     return grams.groupBy(key, "ngram").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_list("pos")).alias("positions")).where(F.col("occurrences") >= least)

@@ -325,6 +325,19 @@ def token_chunk_index(spark, sf):
     return spark.read.option("header", True).schema("chunk long, doc_id long, start long, stop long").csv(f"{path}/boundaries")
 
 
+@query("""select 'parts' as source, p_partkey::varchar as id, 'user: ' || p_name || chr(10) || 'assistant: ' || p_brand as lines from part union all select 'nations', n_nationkey::varchar, 'user: ' || n_name || chr(10) || 'assistant: ' || n_regionkey from nation, range(2)""")
+def cached_mixture(spark, sf):
+    base = sinks.shared_path(spark, "mixture")
+    sinks.write(table(spark, sf, "part").selectExpr("cast(p_partkey as string) as id", "p_name as prompt", "p_brand as completion"), f"{base}/parts.parquet")
+    sinks.write(table(spark, sf, "nation").selectExpr("cast(n_nationkey as string) as id", "n_name as prompt", "cast(n_regionkey as string) as completion"), f"{base}/nations.parquet")
+    steps = (("to_messages", {}),)
+    mixture = registry.Mixture((registry.Dataset(f"{base}/parts.parquet", steps=steps), registry.Dataset(f"{base}/nations.parquet", "2.0", steps=steps)), columns=("id",))
+    registry.build_cached(spark, mixture, f"{base}/cache")
+    rows = registry.build_cached(spark, mixture, f"{base}/cache")  # from the cache
+    source = F.when(F.endswith("dataset_source", F.lit("parts.parquet")), "parts").otherwise("nations")
+    return rows.select(source.alias("source"), "id", convert.flatten_prompt("messages").alias("lines"))
+
+
 # streams
 
 
