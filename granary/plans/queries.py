@@ -326,9 +326,9 @@ def chunk_boundaries(spark, sf):
     return sinks.chunk_boundaries(table(spark, sf, "documents"), "doc_id", "n_chars", 100_000)
 
 
-@query("""select source, printf('%.4f', max(n_chars) filter (lang = 'de')::double) as de, printf('%.4f', max(n_chars) filter (lang = 'en')::double) as en from documents where lang in ('de', 'en') group by source""")
+@query("""select source, printf('%.4f', max(n_chars) filter (coalesce(lang, 'none') = 'de')::double) as de, printf('%.4f', max(n_chars) filter (coalesce(lang, 'none') = 'en')::double) as en, printf('%.4f', max(n_chars) filter (coalesce(lang, 'none') = 'es')::double) as es, printf('%.4f', max(n_chars) filter (coalesce(lang, 'none') = 'fr')::double) as fr, printf('%.4f', max(n_chars) filter (coalesce(lang, 'none') = 'none')::double) as none from documents group by source""")
 def score_matrix(spark, sf):
-    return sinks.matrix(table(spark, sf, "documents").where("lang in ('de', 'en')"), "source", "lang", "n_chars", ["de", "en"])
+    return sinks.matrix(table(spark, sf, "documents").withColumn("lang", F.coalesce("lang", F.lit("none"))), "source", "lang", "n_chars", ["de", "en", "es", "fr", "none"])
 
 
 @query("""select count(*) as responses, sum(cast(json_extract(props, '$.k') as bigint))::bigint as prompt_tokens, 0::bigint as completion_tokens, round(sum(cast(json_extract(props, '$.k') as bigint)) * 2.5 / 1e6, 6) as cost from events""")
