@@ -189,6 +189,7 @@ def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     above = sizes.select("lo", (F.col("grade") - 1).alias("grade"), F.col("blocks").alias("more"))
     below = sizes.select("lo", (F.col("grade") + 1).alias("grade"), F.col("blocks").alias("fewer"))
     sizes = sizes.join(above, ["lo", "grade"], "left").join(below, ["lo", "grade"], "left").fillna(0, ["more", "fewer"])
+    sizes = materialize(sizes, "sizes")  # so that the planner knows how few they are
     rows = apart.join(sizes, ["lo", "grade"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(sets, "cid")
     # a block (grade, number); the smaller of two comes first
     me = F.struct(F.col("grade").alias("g"), F.col("own").alias("b"))
