@@ -472,3 +472,42 @@ def test_blocks_of_templates_and_constraints(spark):
     for most in (1, 3, 500):
         got = {r["k"]: r["score"] for r in rewards.instruction_scores(rows, "k", "t", "l", most).collect()}
         assert got == {n: 0.5 if n <= 3 else 0.0 for n in range(1, 8)} | {9: 0.0}
+
+
+def test_workbooks_with_shared_strings_and_gaps(spark, tmp_path):
+    import zipfile
+
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    for name in ("a.xlsx", "b.xlsx"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Two" sheetId="2" r:id="r2"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>Acme </t></r><r><t>&amp; Co</t></r></si></sst>')
+            z.writestr("xl/worksheets/s1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>3.5</v></c></row><row r="3"><c r="B3"><v>7</v></c></row></sheetData></worksheet>')
+            z.writestr("xl/worksheets/s2.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>')
+    df = readers.read_workbook(spark, f"{tmp_path}/*.xlsx")
+    assert df.columns == ["name", "column_1", "n"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("Acme & Co", None, "3.5"), (None, "7", None)] * 2, key=str)
+    assert readers.read_workbook(spark, str(tmp_path / "a.xlsx"), "Two").count() == 0
+    path = f"{tmp_path}/out.xlsx"
+    sinks.write_workbook(spark.range(30).selectExpr("id", "case when id % 2 = 0 then '<a> & b' end as t"), path)
+    assert sorted((int(r["id"]), r["t"]) for r in readers.read_workbook(spark, path).collect()) == [(i, "<a> & b" if i % 2 == 0 else None) for i in range(30)]
+    with pytest.raises(ValueError):
+        sinks.write_workbook(spark.range(5), path, most=4)
+
+
+def test_chunks_of_tokens_keep_every_byte(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(i, [rng.randrange(70_000) for _ in range(rng.choice([0, 1, 5, 40]))]) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
+    sinks.write_chunks(df, "doc_id", "ids", str(tmp_path / "c"), 16, largest=70_000)
+    got = sorted((r["chunk"], r["kind"], bytes(r["data"])) for r in spark.read.parquet(str(tmp_path / "c/tokens")).collect())
+    flat = [t for _, ids in docs for t in ids]
+    assert [k for _, k, _ in got] == ["uint32"] * -(-len(flat) // 16)
+    assert b"".join(d for _, _, d in got) == b"".join(t.to_bytes(4, "little") for t in flat)
+    at = spark.read.option("header", True).schema("chunk long, doc_id long, start long, stop long").csv(str(tmp_path / "c/boundaries")).collect()
+    back = {}
+    for r in sorted(at, key=lambda r: (r["doc_id"], r["chunk"])):
+        data = got[r["chunk"]][2]
+        back.setdefault(r["doc_id"], []).extend(int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(r["start"], r["stop"]))
+    assert back == {i: ids for i, ids in docs if ids}
