@@ -69,10 +69,11 @@ TEMPLATES: dict[str, Template] = {
 }
 
 
-def render(messages, template: str | Template, eos: str = "</s>", prompt: bool = False, head: str | None = None, system: str | None = None, generation: str | None = None) -> Column:
+def render(messages, template: str | Template, eos: str = "</s>", prompt: bool = False, head: str | None = None, system: str | None = None, generation: str | None = None, tools: bool = False) -> Column:
     """The text of a message array; ``prompt`` adds the generation prompt and no end sign.
 
     ``head``, ``system`` and ``generation`` replace the template's own; the default system message stands where there is none.
+    ``tools``: messages have the fields functions and function_calls too, text or null, which follow the content.
     """
     t = TEMPLATES[template] if isinstance(template, str) else template
     t = replace(t, head=t.head if head is None else head, system=t.system if system is None else system, generation=t.generation if generation is None else generation)
@@ -94,10 +95,17 @@ def render(messages, template: str | Template, eos: str = "</s>", prompt: bool =
         drop = (x["role"] == "assistant") & c.contains("</think>")
         return F.when(drop & ((i < n - 1) & c.contains("<think>") if t.thinking == "last" else F.lit(True)), bare).otherwise(c)
 
+    def called(x: Column) -> Column:
+        known = F.concat(F.when(x["role"] == "system", " ").otherwise("\n"), F.lit("<functions>"), x["functions"], F.lit("</functions>"))
+        calls = F.concat(F.lit("<function_calls>"), x["function_calls"], F.lit("</function_calls>"))
+        return F.coalesce(F.when(x["role"].isin("system", "user"), known).when(x["role"] == "assistant", calls), F.lit(""))
+
     def one(x: Column, i: Column) -> Column:
         closing = F.when(i == n - 1, mark({**t.after, **t.last_after}, x["role"])).otherwise(mark(t.after, x["role"]))
         known = F.lit(True) if "*" in t.before else x["role"].isin(*t.before)
-        return F.when(known, F.concat(mark(t.before, x["role"]), content(x, i), closing))
+        if tools:
+            closing = F.when((x["role"] == "system") & x["functions"].isNotNull(), F.replace(closing, F.lit(NO_FUNCTIONS), F.lit(""))).otherwise(closing)
+        return F.when(known, F.concat(mark(t.before, x["role"]), content(x, i), called(x) if tools else F.lit(""), closing))
 
     body = F.array_join(F.transform(m, one), t.between)
     parts = [F.lit(t.head)]

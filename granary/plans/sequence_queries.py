@@ -214,6 +214,18 @@ def every_template(spark, sf):
     return rows.select("conv_id", both).select("conv_id", "x.template", "x.rendered")
 
 
+@query("""with m as (select *, row_number() over (partition by conv_id order by turn) as m, count(*) over (partition by conv_id) as n from conversations)
+select conv_id, case when bool_or(role = 'system') then '' else '<|im_start|>system' || chr(10) || 'You are a helpful AI assistant. You do not currently have access to any functions. <functions></functions><|im_end|>' || chr(10) end || string_agg('<|im_start|>' || role || chr(10) || text ||
+case role when 'system' then case when conv_id % 2 = 0 then ' <functions>f()</functions>' else ' You do not currently have access to any functions. <functions></functions>' end when 'user' then case when turn % 3 = 0 then chr(10) || '<functions>g()</functions>' else '' end else case when turn % 2 = 0 then '<function_calls>g(1)</function_calls>' else '' end end
+|| case when role = 'assistant' and m = n then '</s>' else '<|im_end|>' || chr(10) end, '' order by m) as rendered from m group by conv_id""")
+def tool_templates(spark, sf):
+    turns = table(spark, sf, "conversations")
+    known = F.when(F.col("role") == "system", F.when(F.col("conv_id") % 2 == 0, "f()")).otherwise(F.when(F.col("turn") % 3 == 0, "g()"))
+    parts = F.struct("turn", F.struct("role", F.col("text").alias("content"), known.alias("functions"), F.when(F.col("turn") % 2 == 0, "g(1)").alias("function_calls")).alias("m"))
+    rows = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["m"]).alias("messages"))
+    return rows.select("conv_id", templates.render("messages", "im", tools=True).alias("rendered"))
+
+
 @query("""with c as (select conv_id, max(text) filter (role = 'user') as q, max(text) filter (role = 'assistant') as a from conversations group by 1 having q is not null and a is not null)
 select conv_id, chr(10) || chr(10) || '### 指示:' || chr(10) || q || chr(10) || chr(10) || '### 応答:' || chr(10) as prompt, a as chosen, 'はい' as rejected from c where len(regexp_extract_all(q, '\\S+')) + len(regexp_extract_all(a, '\\S+')) <= 150""")
 def section_pairs(spark, sf):
