@@ -81,10 +81,11 @@ def last_assistant(spark, sf):
     return chats(spark, sf).select("conv_id", convert.last_of("messages").alias("answer")).where("answer is not null")
 
 
-@query("""with l as (select conv_id, max(turn) as t, count(*) as n, arg_max(role, turn) as r from conversations group by conv_id)
-select conv_id, case when n > 1 and r = 'assistant' then n - 1 else n end as n_kept from l""")
+@query("""with l as (select *, row_number() over (partition by conv_id order by turn) as m, count(*) over (partition by conv_id) as n from conversations)
+select conv_id, count(*) as n_kept, string_agg(role || ': ' || text, chr(10) order by turn) as kept from l where not (n > 1 and m = n and role = 'assistant') group by conv_id""")
 def drop_trailing_assistant(spark, sf):
-    return chats(spark, sf).select("conv_id", F.size(convert.without_last_answer("messages")).cast("long").alias("n_kept"))
+    kept = convert.without_last_answer("messages")
+    return chats(spark, sf).select("conv_id", F.size(kept).cast("long").alias("n_kept"), convert.flatten_prompt(kept).alias("kept"))
 
 
 @query("""with l as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 as i from conversations)
@@ -270,12 +271,15 @@ def mix_counts(spark, sf):
     return sampling.mix(parts, {"en": sampling.amount("40"), "fr": sampling.amount("10")}, "doc_id", seed=None).select("dataset_source", "doc_id")
 
 
-@query("""with n as (select count(*) as n from labels), c as (select (5 * n // 2) as want, n from n) select want as "rows", n as distinct_docs, want // n as fewest, want // n + case when want % n > 0 then 1 else 0 end as most from c""")
+@query("""with n as (select count(*) as n from labels) select doc_id, true as fair, (select 5 * n // 2 from n) as rows from labels""")
 def upsample(spark, sf):
     labels = table(spark, sf, "labels")
     n = labels.count()
-    out = sampling.upsample(labels, 5 * n // 2, "doc_id", size=n).groupBy("doc_id").agg(F.count("*").alias("c"))
-    return out.agg(F.sum("c").alias("rows"), F.count("*").alias("distinct_docs"), F.min("c").alias("fewest"), F.max("c").alias("most"))
+    out = sampling.upsample(labels, 5 * n // 2, "doc_id", size=n).groupBy("doc_id").agg(F.count("*").alias("c"), F.countDistinct("copy").alias("copies"))
+    total = out.agg(F.sum("c")).first()[0]
+    # every row twice, some of them, at random, once more
+    return out.select("doc_id", (F.col("c").between(2, 3) & (F.col("c") == F.col("copies"))).alias("fair"), F.lit(total).cast("long").alias("rows"))
+
 
 
 @query("select source, doc_id from (select *, row_number() over (partition by source order by doc_id) as k from documents) where k <= 10")
@@ -283,10 +287,12 @@ def per_source_cap(spark, sf):
     return sampling.per_group(table(spark, sf, "documents").select("source", "doc_id"), "source", 10, "doc_id")
 
 
-@query("""with c as (select conv_id, count(*) as n from conversations group by 1), big as (select conv_id from c where n >= 4) select count(*) as groups, count(*) * 4 as rows from big""")
+@query("""with c as (select conv_id, count(*) as n from conversations group by 1) select conv_id, 4::bigint as rows, 4::bigint as different, true as inside from c where n >= 4""")
 def exactly_per_group(spark, sf):
-    out = sampling.exactly_per_group(table(spark, sf, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn")), "conv_id", 4, "k")
-    return out.agg(F.countDistinct("conv_id").alias("groups"), F.count("*").alias("rows"))
+    turns = table(spark, sf, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    out = sampling.exactly_per_group(turns, "conv_id", 4, "k").groupBy("conv_id").agg(F.count("*").alias("rows"), F.countDistinct("k").alias("different"), F.array_sort(F.collect_list("k")).alias("ks"))
+    every = turns.groupBy("conv_id").agg(F.collect_list("k").alias("every"))
+    return out.join(every, "conv_id").select("conv_id", "rows", "different", (F.size(F.array_except("ks", "every")) == 0).alias("inside"))
 
 
 @query("""with n as (select least(100, floor(0.1 * count(*))::bigint) as d from documents), r as (select doc_id, row_number() over (order by doc_id) as k from documents)
@@ -917,18 +923,20 @@ def boxed_answers(spark, sf):
 # more sequences and statistics
 
 
-@query("""with t as (select conv_id, list(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) order by turn) as n from conversations group by conv_id) select conv_id, list_sum(n)::int as total, len(n)::int + 1 as n_cuts from t""")
+@query("""with t as (select conv_id, turn, list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'), lambda w: length(w)) as l from conversations), n as (select conv_id, turn, l, sum(len(l)) over (partition by conv_id order by turn)::bigint as upto from t)
+select conv_id, array_to_string(flatten(list(l order by turn)), ' ') as ids, '0 ' || string_agg(upto::varchar, ' ' order by turn) as cuts from n group by conv_id""")
 def flattened_batches(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(text.words("text"), lambda w: F.length(w)).alias("ids"))
     out = packing.flatten_batch(rows, "conv_id", "turn", "ids")
-    return out.select("conv_id", F.element_at("cu_seq_lens", -1).alias("total"), F.size("cu_seq_lens").alias("n_cuts"))
+    return out.select("conv_id", F.array_join("input_ids", " ").alias("ids"), F.array_join("cu_seq_lens", " ").alias("cuts"))
 
 
-@query("""select conv_id, least(count(*), 3)::int as n_tokens, greatest(count(*) - 4, 0)::int as excess from conversations group by conv_id""")
+@query("""with m as (select conv_id, length(text) as n, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as size from conversations)
+select conv_id, string_agg(n::varchar, ' ' order by i) filter (i <= 3) as tokens, greatest(any_value(size) - 4, 0)::int as excess from m group by conv_id""")
 def clipped_outputs(spark, sf):
     ids = F.transform("messages", lambda m: F.length(m["content"]))
     out = chats(spark, sf).select("conv_id", packing.clip_tool_output(ids, 4, 3).alias("c"))
-    return out.select("conv_id", F.size("c.tokens").alias("n_tokens"), F.col("c.excess").alias("excess"))
+    return out.select("conv_id", F.array_join("c.tokens", " ").alias("tokens"), F.col("c.excess").alias("excess"))
 
 
 @query("""with n as (select source, count(*) as initial, count(*) filter (lang = 'en') as final from documents group by source) select source as dataset_source, initial, final, initial - final as filtered, round(final / initial, 6) as factor from n""")
