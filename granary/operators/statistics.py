@@ -75,10 +75,12 @@ def deciles(df: DataFrame, column: str) -> DataFrame:
 
 def equal_bins(df: DataFrame, column: str, most: int = 50) -> DataFrame:
     """(bin, low, n): bins of equal width from 0, a tenth of the maximum of them at most if that is above 10."""
-    top = df.agg(F.max(column).alias("m")).withColumn("bins", F.when(F.col("m") > 10, F.least(F.lit(most), F.floor(F.col("m") / 10).cast("int"))).otherwise(most))
-    rows = df.select(F.col(column).alias("v")).join(F.broadcast(top), F.lit(True))  # one row
-    width = F.col("m") / F.col("bins")
-    return rows.where("v is not null").groupBy(F.least(F.floor(F.col("v") / F.nullif(width, F.lit(0.0))), F.col("bins") - 1).alias("bin"), width.alias("width")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * F.col("width")).alias("low"), "n")
+    top = df.agg(F.max(column).cast("double")).first()[0]
+    bins = min(most, int(top // 10)) if top is not None and top > 10 else most
+    width = F.nullif(F.lit(top) / bins, F.lit(0.0))
+    rows = df.select(F.col(column).alias("v")).where("v is not null")
+    counts = rows.groupBy(F.least(F.floor(F.col("v") / width), F.lit(bins - 1).cast("long")).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select("bin", (F.col("bin") * F.coalesce(width, F.lit(0.0))).alias("low"), "n")
 
 
 def dataset_statistics(df: DataFrame, source: str = "dataset_source", ids: str = "input_ids", labels: str = "labels", masked: int = -100) -> DataFrame:
