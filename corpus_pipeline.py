@@ -24,10 +24,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id are in no group: of those with equal texts one stays. Null texts count as empty.
     """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     text = F.coalesce("text", F.lit(""))
     a, b = _free(docs, "a"), _free(docs, "b")
-    return named.withColumn(a, F.xxhash64(text)).withColumn(b, F.hash(text)).dropDuplicates(["doc_id", a, b]).select(docs.columns)
+    once = lambda rows: rows.withColumn(a, F.xxhash64(text)).withColumn(b, F.hash(text)).dropDuplicates(["doc_id", a, b]).select(docs.columns)
+    # the rows with an id are dealt by it once, for the join and for what is alike among them
+    return once(docs.join(kept, "doc_id", "left_semi")).unionByName(once(docs.where("doc_id is null")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
