@@ -1,12 +1,16 @@
 """Every engine query against its SQL, or for rows where it has none."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 from conftest import SMALL
 
 from granary.plans import queries
+from granary.sources import readers, sinks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -66,3 +70,24 @@ def test_length_histogram_has_no_end(spark, tmp_path):
     spark.createDataFrame([(i, "en", n) for i, n in enumerate(lengths)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["bin"]: r["n"] for r in queries.QUERIES["length_histogram"](spark, str(tmp_path)).collect()}
     assert got == {0: 2, 1: 1, 199: 2, 450: 1}
+
+
+def test_database_is_read_by_other_processes(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from granary.plans import queries
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+print("rows:", queries.QUERIES["database_rows"](spark, "{SMALL}").count())
+"""
+    env = {**os.environ, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_DIRS": str(tmp_path), "PYSPARK_SUBMIT_ARGS": "pyspark-shell"}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "rows: 25" in out.stdout, out.stderr[-2000:]
+
+
+def test_database_keeps_every_row_and_null(spark, tmp_path):
+    rows = [(i, 2**40 + i, None if i % 3 == 0 else "é'\\" * (i % 7), None if i % 5 == 0 else i / 3, i % 2 == 0) for i in range(2500)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b long, c string, d double, e boolean")
+    url = sinks.write_database(df, f"file://{tmp_path}/some.jar", "kept")
+    back = readers.read_database(spark, url, "kept")
+    assert back.columns == df.columns and sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
