@@ -215,5 +215,19 @@ def clean_json(x) -> Column:
     return strip(F.regexp_replace(strip(x), r"(?i)^```(?:json)?|```$", ""))
 
 
+#: JSON by its grammar, with NaN and Infinity; numbers and strings of any length.
+_STRICT = {"allowSingleQuotes": "false", "maxNumLen": "2147483647", "maxStringLen": "2147483647"}
+
+
 def is_json(x) -> Column:
-    return F.try_parse_json(col(x)).isNotNull()
+    """Whether the whole text is one JSON value, nested at most 1000 deep; keys may repeat.
+
+    Spark's parsers stop after the first value, so the text is read as the first of an array's two items: the second, the
+    text's own hash, comes out as such only if one value fills the first one's place. ``+Infinity`` is made no number.
+    """
+
+    def whole(t: Column) -> Column:
+        pair = F.from_json(F.concat(F.lit("["), F.replace(t, F.lit("+I"), F.lit("+_I")), F.lit(',"'), F.sha2(t, 256), F.lit('"]')), "array<string>", _STRICT)
+        return F.coalesce((F.size(pair) == 2) & (F.element_at(pair, 2) == F.sha2(t, 256)), F.lit(False))
+
+    return let(col(x), whole)

@@ -168,3 +168,14 @@ def test_formulas_are_compared_by_value(spark):
     rows = spark.createDataFrame([(f"so \\boxed{{{a}}}", b, True) for a, b in SAME if b] + [(f"so \\boxed{{{a}}}", b, False) for a, b in DIFFERENT if a and b and "=5" not in a] + [(None, "1", False), ("no answer", None, False)], "p string, l string, ok boolean")
     got = rows.select("p", "l", "ok", (verifiers.math("p", "l") == 1).alias("m"), (verifiers.math_value("p", "l") == 1).alias("v"), (verifiers.math("p", "l", symbolic=False) <= verifiers.math("p", "l")).alias("more")).collect()
     assert [tuple(r) for r in got if not (r["m"] == r["v"] == r["ok"] and r["more"])] == []
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ('"a" b', False), ("1 2", False), ("[1] [2]", False), ("1] [2", False), ("1,2", False), ('"a","b"', False), ('{"a": 1} x', False), ("47 six", False), ("", False), (" ", False), (None, False), ("'a'", False), ("{a: 1}", False), ("01", False), ('"a\tb"', False), ("+Infinity", False), ("[+INF]", False),
+        (" 1\n", True), ('"a b"', True), ('"+Ink"', True), ('{"a": 1, "a": 2}', True), ("null", True), ("[[], {}]", True), ("NaN", True), ('{"a": -Infinity}', True), ("7" * 1500, True), ("[" * 900 + "]" * 900, True), ('"]["', True),
+    ],
+)
+def test_json_is_one_whole_value(spark, given, want):
+    assert value(spark, I.check("t", "detectable_format:json_format", {}), t=given) == want
