@@ -179,3 +179,8 @@ def test_formulas_are_compared_by_value(spark):
 )
 def test_json_is_one_whole_value(spark, given, want):
     assert value(spark, I.check("t", "detectable_format:json_format", {}), t=given) == want
+
+
+@pytest.mark.parametrize(("given", "want"), [('"token = "3f" end"', False), ("4754 Ieein +1******4754 ieein +1", False), ("```json\n[1]\n```", False), ('"a \\" b"', True), ("-0.5e3", True)])
+def test_valid_json_is_one_whole_value(spark, given, want):
+    assert value(spark, I.valid_json("t"), t=given) == want
