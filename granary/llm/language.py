@@ -26,7 +26,7 @@ DIMS = 1 << 16
 TRAIN_ROWS = 1500
 #: Two nearest codewords whose scores differ by less make a text ambiguous.
 AMBIGUOUS = 0.1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _letters() -> np.ndarray:

@@ -30,7 +30,8 @@ BANDS, ROWS = 40, 5
 GROUP = 128
 #: Members of a block where what is still apart is compared.
 BLOCK = 256
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once, one text at least.
+CHUNK = 1 << 18
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -127,7 +128,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
 
     Repeated rows of a class's document give its set once for each task that meets them.
     """
-    source = keyed(docs, id_col, text_col).select(F.col("doc_id").alias("rep"), "th", "text").join(wanted, ["rep", "th"]).select("cid", "text")
+    # the texts stream past a table of a part's classes, so they are never held and sorted
+    source = keyed(docs, id_col, text_col).select(F.col("doc_id").alias("rep"), "th", "text").join(wanted.hint("shuffle_hash"), ["rep", "th"]).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from plain import SCHEMA, components, corpus, repeated_bytes, repeated_words, words
+from pyspark.sql import functions as F
 
 from granary.llm import blockdedup, neardup, suffixdedup
 from granary.llm.common import connected_components, word_hashes, word_spans
@@ -190,3 +191,13 @@ def test_words_follow_the_contract():
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
     one, _ = word_hashes(np.frombuffer(b"Ab aB ab", np.uint8), np.array([0, 8]), True)
     assert len(set(one.tolist())) == 1
+
+
+def test_sets_stream_past_their_classes(spark):
+    docs = spark.createDataFrame([(i, f"a b c d {i}") for i in range(8)], "doc_id long, text string")
+    wanted = docs.select(F.col("doc_id").alias("cid"), F.col("doc_id").alias("rep"), F.xxhash64("text").alias("th"))
+    sets = neardup.full_sets(docs, wanted, 3, "doc_id", "text")
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    got = {r["cid"]: len(r["codes"]) // 8 for r in sets.collect()}
+    assert got == dict.fromkeys(range(8), 3)

@@ -3,8 +3,10 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from plain import SCHEMA, WORD, corpus, mixture_targets, personal, words
@@ -438,3 +440,13 @@ def test_quality_weighs_the_draw(spark):
     even = sum(r["copies"] for r in got if r["doc_id"] % 2 == 0)
     odd = sum(r["copies"] for r in got if r["doc_id"] % 2)
     assert even > 1.5 * odd and mixing.mix_documents(df.limit(0)).count() == 0
+
+
+def test_labelling_a_batch_takes_little_beside_it():
+    model = language.Model(["a", "b", "c", "d"], language.codewords(4), np.ones((language.DIMS + 1, 7), np.float32), np.ones(7))
+    texts = pa.array(["the words of a text " * 150] * 1000)
+    tracemalloc.start()
+    language.label(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
