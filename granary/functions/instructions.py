@@ -68,7 +68,7 @@ def language_of(text) -> Column:
 _FOLDED = {k: sorted(set(v)) for k, v in STOP_WORDS.items()}
 
 
-# plain functions
+# plain functions; (?d): a dot stops at line feeds alone
 
 
 @simple
@@ -131,7 +131,7 @@ def has_postscript(text, marker: str) -> Column:
 
 @simple
 def placeholders(text, n: int) -> Column:
-    return count_matches(text, r"\[(.*?)\]") >= n
+    return count_matches(text, r"(?d)\[(.*?)\]") >= n
 
 
 @simple
@@ -141,7 +141,7 @@ def bullet_points(text, n: int) -> Column:
 
 @simple
 def has_title(text) -> Column:
-    return col(text).rlike(r"<<(.*?)>>")
+    return col(text).rlike(r"(?d)<<(.*?)>>")
 
 
 @simple
@@ -151,7 +151,7 @@ def is_choice(text, options: list[str]) -> Column:
 
 @simple
 def highlighted(text, n: int) -> Column:
-    return count_matches(text, r"\*(.*?)\*") >= n
+    return count_matches(text, r"(?d)\*(.*?)\*") >= n
 
 
 @simple

@@ -184,3 +184,9 @@ def test_json_is_one_whole_value(spark, given, want):
 @pytest.mark.parametrize(("given", "want"), [('"token = "3f" end"', False), ("4754 Ieein +1******4754 ieein +1", False), ("```json\n[1]\n```", False), ('"a \\" b"', True), ("-0.5e3", True)])
 def test_valid_json_is_one_whole_value(spark, given, want):
     assert value(spark, I.valid_json("t"), t=given) == want
+
+
+@pytest.mark.parametrize("end", ["\r", "\u0085", "\u2028"])
+def test_marks_reach_across_all_but_line_feeds(spark, end):
+    for mark, found in (("[a{}b]", I.placeholders("t", 1)), ("<<a{}b>>", I.has_title("t")), ("*a{}b*", I.highlighted("t", 1))):
+        assert value(spark, found, t=mark.format(end)) and not value(spark, found, t=mark.format("\n"))
