@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, keyed, materialize, mix64, slices, text_buffers, word_hashes
+from .common import connected_components, files_for, keyed, materialize, mix64, slices, text_buffers, word_hashes
 
 BASE = 1.001
 BANDS, ROWS = 40, 5
@@ -177,7 +177,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.unionByName(right).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(apart: DataFrame, sets: DataFrame, percent: int, files: int | None = None) -> DataFrame:
     """Links (a, b) between members of one group ``lo`` with different labels, enough to join all that links join.
 
     ``apart``: lo, cid, label, n. Sets whose sizes differ by more than the threshold allows are not alike, so a group is cut
@@ -191,7 +191,7 @@ def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     above = sizes.select("lo", (F.col("grade") - 1).alias("grade"), F.col("blocks").alias("more"))
     below = sizes.select("lo", (F.col("grade") + 1).alias("grade"), F.col("blocks").alias("fewer"))
     sizes = sizes.join(above, ["lo", "grade"], "left").join(below, ["lo", "grade"], "left").fillna(0, ["more", "fewer"])
-    sizes = materialize(sizes, "sizes")  # so that the planner knows how few they are
+    sizes = materialize(sizes, "sizes", files=files)  # so that the planner knows how few they are
     rows = apart.join(sizes, ["lo", "grade"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(sets, "cid")
     # a block (grade, number); the smaller of two comes first
     me = F.struct(F.col("grade").alias("g"), F.col("own").alias("b"))
@@ -252,39 +252,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     similarity of 0.8 and of 7e-11 at 0.85.
     """
     rows_ = materialize(sketch(docs, width, bands, rows, id_col, text_col), "sketch")
+    files = files_for(rows_)
     linked = rows_.where("n > 0 and doc_id is not null")
     classes = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("n").alias("n"), F.first("reg").alias("reg"))
     # written with its number, which tells classes apart whose smallest document is the same
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("d.doc_id").alias("rep"), F.col("d.th").alias("th"), "digest", "n", "reg"), "classes")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("d.doc_id").alias("rep"), F.col("d.th").alias("th"), "digest", "n", "reg"), "classes", files=files)
     keys = band_keys(classes, bands, rows)
     centres = keys.groupBy("band", "key").agg(F.min("cid").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = materialize(keys.join(centres, ["band", "key"]).select("band", "key", "cid", "centre"), "buckets")
+    met = materialize(keys.join(centres, ["band", "key"]).select("band", "key", "cid", "centre"), "buckets", files=files)
     stars = met.where("cid <> centre").groupBy(F.col("centre").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("times"))
-    stars = materialize(plausible(stars, classes, percent / 100).join(stars, ["a", "b"]).distinct(), "stars")
+    stars = materialize(plausible(stars, classes, percent / 100).join(stars, ["a", "b"]).distinct(), "stars", files=files)
     best = stars.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
     ids = met.select("cid").distinct()
-    sets = materialize(full_sets(docs, classes.join(ids, "cid").select("cid", "rep", "th"), width, id_col, text_col), "sets")
-    done = materialize(confirm(best, sets, percent), "links")
+    sets = materialize(full_sets(docs, classes.join(ids, "cid").select("cid", "rep", "th"), width, id_col, text_col), "sets", files=files)
+    done = materialize(confirm(best, sets, percent), "links", files=files)
     rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), _hops(done))
-    links = materialize(confirm(rest, sets, percent).unionByName(done), "links")
-    labels = materialize(connected_components(links), "labels")
+    links = materialize(confirm(rest, sets, percent).unionByName(done), "links", files=files)
+    labels = materialize(connected_components(links, files=files), "labels", files=files)
     named = classes.select("cid", "rep", "n", "digest").join(labels.toDF("cid", "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
-    named = materialize(named, "named")
+    named = materialize(named, "named", files=files)
     here = met.select("band", "key", "cid").join(named.select("cid", "label", "n"), "cid")
     mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("hi")
-    apart = materialize(here.join(mixed, ["band", "key"]).select("lo", "cid", "label", "n").distinct(), "apart")
+    apart = materialize(here.join(mixed, ["band", "key"]).select("lo", "cid", "label", "n").distinct(), "apart", files=files)
     # what is left to join are labels: by links across them, and by ids that have texts of several
-    found, of = across(apart, sets, percent), named.select("cid", "label")
+    found, of = across(apart, sets, percent, files), named.select("cid", "label")
     found = found.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     texts = linked.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
     several = linked.join(texts, "doc_id").join(named.select("digest", "label"), "digest").select("doc_id", "label").distinct()
     least = several.groupBy("doc_id").agg(F.min("label").alias("a"))
-    more = materialize(found.unionByName(several.join(least, "doc_id").select("a", F.col("label").alias("b"))).where("a <> b").distinct(), "more")
+    more = materialize(found.unionByName(several.join(least, "doc_id").select("a", F.col("label").alias("b"))).where("a <> b").distinct(), "more", files=files)
     if not more.isEmpty():
-        joined = connected_components(more).toDF("label", "to")
+        joined = connected_components(more, files=files).toDF("label", "to")
         named = named.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    final = materialize(named.select("digest", "label").join(least, "label").select("digest", "component_id"), "final")
+    final = materialize(named.select("digest", "label").join(least, "label").select("digest", "component_id"), "final", files=files)
     out = rows_.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(final, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))

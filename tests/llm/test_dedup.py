@@ -3,7 +3,7 @@ import pytest
 from plain import SCHEMA, components, corpus, repeated_bytes, repeated_words, words
 from pyspark.sql import functions as F
 
-from granary.llm import blockdedup, neardup, suffixdedup
+from granary.llm import blockdedup, common, neardup, suffixdedup
 from granary.llm.common import connected_components, word_hashes, word_spans
 
 
@@ -37,6 +37,26 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows, 3, 85)
 
 
+def test_scratch_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """Many near-empty shuffle partitions; every file of a table costs the executors a few forks."""
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "CORE_FILES", 1)
+    rows, held = corpus(), {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(docs, 3, 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = components(rows, 3, 85)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    files = {d.name: len(list(d.glob("part-*.parquet"))) for d in (tmp_path / "granary").iterdir()}
+    assert len(files) > 10 and max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 def test_rows_that_share_an_id_keep_the_links_of_all_their_texts(spark):
     import random
 
