@@ -14,6 +14,7 @@ out, short ones too, but for boilerplate inside it and for runs of short links i
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -79,6 +80,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.nodes = [Node("", 0, True)]
         self.open: list[tuple[str, bool, int, bool]] = []  # name, silent, the node before if it made one or -1, a link
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each name, where in open it stands
         self.node = 0
         self.boxes: list[int] = []  # the open nodes that are boilerplate
         self.told = [0, 0, 0]  # of these, how many know that they wrap something, an article, the main part
@@ -140,6 +142,7 @@ class Lines(HTMLParser):
             if boiler:
                 self.boxes.append(self.node)
         silent, link = tag in SILENT, tag == "a" and any(key == "href" for key, _ in attrs)
+        self.places[tag].append(len(self.open))
         self.open.append((tag, silent, before, link))
         self.links += link
         self.anchors += link
@@ -154,14 +157,17 @@ class Lines(HTMLParser):
 
     def end_element(self, tag: str, within: frozenset = frozenset()) -> None:
         """Close the innermost open ``tag`` and what is open inside it, unless an element of ``within`` lies between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                break
-            if self.open[i][0] in within:
-                return
-        else:
+        if not self.places[tag]:
+            return
+        i = self.places[tag][-1]
+        if len(self.open) - i <= len(within):
+            between = any(x[0] in within for x in self.open[i + 1 :])
+        else:  # nesting may be deep: of each name only the innermost place is looked at
+            between = any(self.places[x] and self.places[x][-1] > i for x in within)
+        if between:
             return
         for name, silent, before, link in reversed(self.open[i:]):
+            self.places[name].pop()
             self.links -= link
             self.main -= name in ("article", "main")
             self.head -= name == "head"

@@ -287,6 +287,56 @@ def test_deep_nesting_loses_no_mark():
     assert time.time() - start < 60
 
 
+class Seen(list):
+    """Counts the open elements that are looked at."""
+
+    def __init__(self):
+        super().__init__()
+        self.looks = 0
+
+    def __getitem__(self, i):
+        got = super().__getitem__(i)
+        self.looks += len(got) if isinstance(i, slice) else 1
+        return got
+
+
+@pytest.mark.parametrize("start, step", [("", "<nav>"), ("", "<form>"), ("", "<table>"), ("<p><body>", "<nav>"), ("<li><ul>" + "<div>" * 1000, "<li>x</li>")])
+def test_deep_nesting_looks_at_few_elements(start, step):
+    page = extraction.Lines()
+    page.open = Seen()
+    page.feed(start + step * 1000)
+    page.close()
+    assert page.open.looks < 100_000
+
+
+def test_end_tags_of_deep_pages_close_what_they_did():
+    """The stack of open elements after each tag, against a plain scan of it from the inside."""
+
+    class Plain(extraction.Lines):
+        def end_element(self, tag, within=frozenset()):
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] == tag:
+                    break
+                if self.open[i][0] in within:
+                    return
+            else:
+                return
+            super().end_element(tag)
+
+    rng = random.Random(7)
+    names = ["p", "li", "ul", "b", "a", "div", "nav", "form", "td", "tr", "table", "header", "body", "section", "head", "x-y"]
+    for size in (30, 300, 3000):
+        got, want = extraction.Lines(), Plain()
+        for _ in range(size):
+            tag = ("<", "<", "</")[rng.randrange(3)] + rng.choice(names) + ">w"
+            for page in (got, want):
+                page.feed(tag)
+            assert got.open == want.open and got.node == want.node and got.boxes == want.boxes
+        for page in (got, want):
+            page.close()
+        assert extraction.select(got) == extraction.select(want)
+
+
 def test_whole_pages_against_a_plain_extraction(spark):
     """Every page of the table; the plain version cuts the article out by patterns, which these pages allow."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
