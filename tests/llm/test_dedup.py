@@ -139,6 +139,27 @@ def test_repeats_beside_the_cuts_of_a_long_text(spark):
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (800, 2), 2: (400, 1), 3: (400, 1)}
 
 
+#: Two 128-grams whose hashes are 0x4607a26b73933e and 0x4607a26b706188: alike but for their low 22 bits, and lower than most.
+ALIKE = (
+    "gjelzmjtqxmekzjmsrnxzsnhsqsvgncxvzmohaepbbksejacixtrczhenkyqscdaidqnznyouxcjewnwzkysgblkxqobfbgxachiazdvcmhgjqmuynhgxdnmalqevnhx",
+    "phljxxigakyhxqkintxjxqnjiwgaotstckokisapqjbeacusdxcrtfcdtsnmbtddadknqkmcsuzuvvwwteyaxgvcmrbqkhnokklcelcjihwwokxlvdqzowucyqppggpr",
+)
+
+
+def test_repeat_whose_smallest_grams_nearly_tie(spark):
+    """A string has the same anchor in a long text as in a short one, though the long one has more places to tell apart."""
+    import random
+
+    rng = random.Random(0)
+    fill = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    a, b = (int(suffixdedup.gram_hashes(np.frombuffer(x.encode(), np.uint8), 128)[0]) for x in ALIKE)
+    assert a > b and a >> 22 == b >> 22
+    passage = fill(40) + ALIKE[0] + fill(40) + ALIKE[1] + fill(64)
+    rows = [(1, fill(2_200_000) + passage), (2, passage)]
+    got = suffixdedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (400, 1), 2: (400, 1)}
+
+
 def test_suffix_groups_of_many(monkeypatch):
     """The sweep over classes of a large group equals pairwise comparison."""
     import random
